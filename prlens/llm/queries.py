@@ -24,5 +24,13 @@ def op7_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_read(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_block_extraction, op7_jump_hash_sharding)}
+def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    from prlens.llm.quality import QualityModel
+
+    docs = _read(spark, sf_dir, "documents")
+    return QualityModel.fit(docs, _read(spark, sf_dir, "labels")).score(docs)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_block_extraction, op7_jump_hash_sharding, op2_attention_quality)}
 ORACLES: dict[str, str] = {}
