@@ -32,5 +32,13 @@ def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QualityModel.fit(docs, _read(spark, sf_dir, "labels")).score(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_block_extraction, op7_jump_hash_sharding, op2_attention_quality)}
+def op5_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    from prlens.llm.toxicity import ToxicityModel
+
+    docs = _read(spark, sf_dir, "documents")
+    return ToxicityModel.fit(docs, _read(spark, sf_dir, "labels")).score(docs)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_block_extraction, op7_jump_hash_sharding, op2_attention_quality, op5_noisy_channel_toxicity)}
 ORACLES: dict[str, str] = {}
