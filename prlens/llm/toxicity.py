@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,19 +30,21 @@ from prlens.llm.training import held_out, labelled_sample
 #: The letters that a look-alike sign may stand for.
 LOOK_ALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "[": "c", "€": "e", "£": "l", "¥": "y", "§": "s", "¡": "i",
+    "@": "a", "$": "s", "!": "il", "|": "il", "€": "e", "£": "l", "¥": "y", "§": "s", "¡": "i",
 }
 #: Cyrillic and Greek letters drawn like Latin ones.
 HOMOGLYPHS = str.maketrans("асеорхуіјѕԁһԛԝкмтнвαοερινυκτ", "aceopxyijsdhqwkmthvaoepinukt")
-#: Log probabilities of the channel, natural logarithm.
-SUBSTITUTED, DROPPED_SIGN, DROPPED_REPEAT, KEPT_REPEAT = -1.5, -1.0, -0.5, -1.5
+#: Log probabilities of the channel, natural logarithm: a sign for a letter, a sign or a spacer put in, a letter doubled, a letter drawn out.
+SUBSTITUTED, PUT_IN_SIGN, PUT_IN_SPACER, DOUBLED, DRAWN_OUT = -1.0, -4.0, -0.3, -3.0, -0.5
+#: What a restored letter gains, so that longer readings are not held less likely for their length.
+PER_LETTER = 2.3
 _SIGNS = re.escape("".join(LOOK_ALIKES))
 _SPACERS = r"[ .\-_*·,/~^]"
 #: A word that holds letters and, between or before them, look-alikes or spacers; or letters one by one; or a letter three times in a row.
 CANDIDATE = re.compile(
-    rf"(?<![^\W_])(?:[^\W\d_]{_SPACERS}{{1,2}}){{3,}}[^\W\d_](?![^\W_])"
-    rf"|[^\W\d_]*+(?:[{_SIGNS}]{{1,2}}[^\W\d_]+)+[{_SIGNS}]{{0,2}}(?![^\W_])"
-    rf"|[^\W\d_]+[*._\-][^\W\d_]*+(?:[*._\-][^\W\d_]+)+"
+    rf"(?<![^\W_])(?:(?:[^\W\d_]|[{_SIGNS}]){_SPACERS}{{1,2}}){{3,}}(?:[^\W\d_]|[{_SIGNS}])(?![^\W_])"
+    rf"|[^\W\d_]*+(?:[{_SIGNS}]{{1,6}}[^\W\d_]+)+[0-9@$€]{{0,2}}(?![^\W_])"
+    rf"|[^\W\d_]+[*._\-][^\W\d_]*+(?:[*._\-][^\W\d_]+)+|[^\W\d_]+[*_][^\W\d_]+"
     rf"|(?<![^\W_])(?=([^\W\d_]))[^\W\d_]*?([^\W\d_])\2\2[^\W\d_]*"
 )
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -55,6 +58,28 @@ for _k, _c in enumerate(_LETTERS, 1):
 STRETCH = 48
 #: Characters of word beginnings that are features, and whole words.
 PREFIXES = (4, 5, 6)
+_KIND = np.zeros(256, np.uint8)  # 1 letter, 2 sign, 4 spacer, 8 mark inside a word
+for _b in range(256):
+    _KIND[_b] = (chr(_b).isalpha() and _b < 128 or _b >= 128) + 2 * (chr(_b) in LOOK_ALIKES) + 4 * (chr(_b) in " .-_*,/~^") + 8 * (chr(_b) in "*._-")
+
+
+def _may_hold_candidate(text: bytes) -> bool:
+    """Whether a lower-cased text has any place where a candidate could be (a cheap test over its bytes)."""
+    b = np.frombuffer(text, np.uint8)
+    if len(b) < 3:
+        return False
+    k = _KIND[b]
+    if ((k[:-1] & 2) & ((k[1:] & 1) << 1)).any():
+        return True
+    letter = (k & 1).astype(bool)
+    if ((b[:-2] == b[1:-1]) & (b[1:-1] == b[2:]) & letter[2:]).any() or (letter[:-2] & (k[1:-1] & 8).astype(bool) & letter[2:]).any():
+        return True
+    one = ((k & 3) > 0) & np.concatenate([[True], (k[:-1] & 3) == 0]) & np.concatenate([(k[1:] & 3) == 0, [True]])
+    where = np.flatnonzero(one)
+    return len(where) > 3 and bool((where[3:] - where[:-3] <= 9).any())
+
+
+_RUN = re.compile(r"(.)\1*", re.S)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -101,30 +126,28 @@ class CharModel:
     def decode(self, signs: str) -> str:
         """The likeliest plain word of a candidate, by Viterbi search over its lattice."""
         log = self.log
-        # state: the last two letters -> (log probability, word so far, sign that the last letter came from)
-        states: dict[tuple[int, int], tuple[float, str, str]] = {(0, 0): (0.0, "", "")}
-        for sign in signs:
-            options = [(sign, 0.0)] if sign in _INDEX and sign != " " else [(x, SUBSTITUTED) for x in LOOK_ALIKES.get(sign, "")]
-            drop = DROPPED_SIGN if sign not in _INDEX or sign == " " else None
-            after: dict[tuple[int, int], tuple[float, str, str]] = {}
-            for (a, b), (p, word, came) in states.items():
-                if drop is not None or not options:
-                    q = p + (drop if drop is not None else DROPPED_SIGN)
-                    if (a, b) not in after or after[a, b][0] < q:
-                        after[a, b] = (q, word, came)
-                for letter, cost in options:
-                    k = _INDEX[letter]
-                    repeat = b == k and came == sign
-                    if repeat:
-                        q = p + cost + DROPPED_REPEAT
-                        if (a, b) not in after or after[a, b][0] < q:
-                            after[a, b] = (q, word, came)
-                        cost += KEPT_REPEAT
-                    q = p + cost + log[(a * _N + b) * _N + k]
-                    if (b, k) not in after or after[b, k][0] < q:
-                        after[b, k] = (q, word + letter, sign)
-            states = after or states
-        return max(((p + log[(a * _N + b) * _N], word) for (a, b), (p, word, _) in states.items()), default=(0, ""))[1]
+        # state: the last two letters -> (log probability, word so far)
+        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        for m in _RUN.finditer(signs):
+            sign, run = m[1], len(m[0])
+            letters = [(sign, 0.0)] if sign in _INDEX and sign != " " else [(x, SUBSTITUTED) for x in LOOK_ALIKES.get(sign, "")]
+            options = [("", (PUT_IN_SIGN if letters else PUT_IN_SPACER) * min(run, 2))] if not letters or sign not in _INDEX else []
+            for x, cost in letters:
+                options.append((x, cost + (0 if run == 1 else DOUBLED if run == 2 else DRAWN_OUT)))
+                if run > 1:
+                    options.append((x + x, cost + (0 if run == 2 else DRAWN_OUT - 1)))
+            after: dict[tuple[int, int], tuple[float, str]] = {}
+            for (a, b), (p, word) in states.items():
+                for text, cost in options:
+                    q, u, v = p + cost, a, b
+                    for x in text:
+                        k = _INDEX[x]
+                        q += log[(u * _N + v) * _N + k] + PER_LETTER
+                        u, v = v, k
+                    if (u, v) not in after or after[u, v][0] < q:
+                        after[u, v] = (q, word + text)
+            states = after
+        return max(((p + log[(a * _N + b) * _N], word) for (a, b), (p, word) in states.items()), default=(0.0, ""))[1]
 
 
 class Restorer:
@@ -135,6 +158,8 @@ class Restorer:
 
     def word(self, signs: str) -> str:
         got = self.known.get(signs)
+        if got is None and sum(c.isalpha() for c in signs) < 2:
+            return signs
         if got is None:
             parts = [signs[i : i + STRETCH] for i in range(0, len(signs), STRETCH)]
             got = "".join(self.model.decode(x) for x in parts)
@@ -146,7 +171,11 @@ class Restorer:
         """The text in lower case with its candidates restored."""
         low = (text or "").lower()
         if not low.isascii():
+            if re.search("[\uff01-\uff5e\U0001d400-\U0001d7ff]", low):  # full-width and mathematical letters
+                low = unicodedata.normalize("NFKC", low).lower()
             low = low.translate(HOMOGLYPHS) if re.search("[Ͱ-ϿЀ-ӿԀ-ԯ]", low) else low
+        if not _may_hold_candidate(low.encode("utf-8", "replace")):
+            return low
         return CANDIDATE.sub(lambda m: m[0] if m[0].isalpha() and not m[0].isascii() else " " + self.word(m[0]) + " " if not m[0].isalpha() else self.word(m[0]), low)
 
 
