@@ -40,5 +40,20 @@ def op5_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ToxicityModel.fit(docs, _read(spark, sf_dir, "labels")).score(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_block_extraction, op7_jump_hash_sharding, op2_attention_quality, op5_noisy_channel_toxicity)}
+def op9_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: base spans, and the terms that disclose them."""
+    from prlens.llm.pii import find_private, span_digest
+
+    return span_digest(find_private(_read(spark, sf_dir, "documents")))
+
+
+def op10_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked weights, inclusion probabilities and the sample, for all documents."""
+    from prlens.llm.mixing import mix_documents, with_topic
+
+    out = mix_documents(with_topic(_read(spark, sf_dir, "documents")))
+    return out.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), "n_tokens", "weight", "probability", "selected")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_block_extraction, op7_jump_hash_sharding, op2_attention_quality, op5_noisy_channel_toxicity, op9_disclosure_sanitisation, op10_raked_mixing)}
 ORACLES: dict[str, str] = {}
