@@ -55,5 +55,19 @@ def op10_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), "n_tokens", "weight", "probability", "selected")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_block_extraction, op7_jump_hash_sharding, op2_attention_quality, op5_noisy_channel_toxicity, op9_disclosure_sanitisation, op10_raked_mixing)}
+def op4_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every fiftieth vector."""
+    from prlens.llm.knn import voronoi_topk
+
+    return voronoi_topk(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op3_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in each document."""
+    from prlens.llm.decontaminate import find_contaminated
+
+    return find_contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_block_extraction, op7_jump_hash_sharding, op2_attention_quality, op5_noisy_channel_toxicity, op9_disclosure_sanitisation, op10_raked_mixing, op4_voronoi_topk, op3_bm25_decontamination)}
 ORACLES: dict[str, str] = {}
