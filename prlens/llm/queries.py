@@ -69,5 +69,12 @@ def op3_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_block_extraction, op7_jump_hash_sharding, op2_attention_quality, op5_noisy_channel_toxicity, op9_disclosure_sanitisation, op10_raked_mixing, op4_voronoi_topk, op3_bm25_decontamination)}
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without strings of 50 bytes that documents with smaller ids hold."""
+    from prlens.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_block_extraction, op7_jump_hash_sharding, op2_attention_quality, op5_noisy_channel_toxicity, op9_disclosure_sanitisation, op10_raked_mixing, op4_voronoi_topk, op3_bm25_decontamination, op6_suffix_dedup)}
 ORACLES: dict[str, str] = {}
