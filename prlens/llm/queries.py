@@ -76,5 +76,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_block_extraction, op7_jump_hash_sharding, op2_attention_quality, op5_noisy_channel_toxicity, op9_disclosure_sanitisation, op10_raked_mixing, op4_voronoi_topk, op3_bm25_decontamination, op6_suffix_dedup)}
+def op8_prefix_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles are similar to 85 per cent."""
+    from prlens.llm.jaccard import near_duplicate_groups
+
+    return near_duplicate_groups(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_block_extraction, op7_jump_hash_sharding, op2_attention_quality, op5_noisy_channel_toxicity, op9_disclosure_sanitisation, op10_raked_mixing, op4_voronoi_topk, op3_bm25_decontamination, op6_suffix_dedup, op8_prefix_tree_jaccard)}
 ORACLES: dict[str, str] = {}
