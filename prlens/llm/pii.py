@@ -115,7 +115,8 @@ def find_private(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     pairs = written(together.join(entities, "entity"), "pii-pairs")
     terms = pairs.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))).alias("term"))
-    counts = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # words are counted before they meet the terms, so that the join makes a row a term at most
+    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term")
     n = F.lit(float(max(total, 1)))
     pmi = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
     told = pairs.join(counts, "term").where((F.col("n_e") < n) & (pmi >= threshold * F.log(n / F.col("n_e")))).select("term", "entity")
