@@ -1,0 +1,15 @@
+"""Schemas of the pull-request tables, declared once."""
+
+from pyspark.sql import types as T
+
+PULL_REQUEST = "id bigint, title string, body string, agent string, state string, created_at string, closed_at string, merged_at string, user_id bigint, user string, number bigint, repo_id bigint, repo_url string, html_url string"
+REPOSITORY = "id bigint, full_name string, language string, stars double, forks double, url string, license string"
+USER = "id bigint, login string, followers double, created_at string"
+COMMITS = "repo_id bigint, sha string, commit_date timestamp"
+MANIFEST = "repo_id bigint, full_name string, language string, track string, target_date timestamp, commit_sha string, commit_date timestamp, staleness_days int, is_stale boolean, no_prior_commit boolean"
+URL_STATUS = "url string, status int"
+
+
+def struct(ddl: str) -> T.StructType:
+    """A schema string as a type."""
+    return T.StructType.fromDDL(ddl)
