@@ -75,7 +75,7 @@ def rolling_distinct(events: DataFrame, points: DataFrame, key: str, ts: str, at
     span = days * DAY
     p = points.withColumn("_at", micros(F.col(at))).withColumn("_pid", F.monotonically_increasing_id())
     e = events.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"), micros(F.col(ts)).alias("_t")).withColumn("_b", F.floor(F.col("_t") / span).cast("long")).distinct()
-    slots = p.select(key, "_pid", "_at", F.explode(F.array(F.floor((F.col("_at") - span) / span), F.floor(F.col("_at") / span))).cast("long").alias("_b"))
+    slots = p.select(key, "_pid", "_at", F.explode(F.array(F.floor((F.col("_at") - span) / span).cast("long"), F.floor(F.col("_at") / span).cast("long"))).alias("_b"))
     hits = slots.join(e, [key, "_b"]).where((F.col("_t") < F.col("_at")) & (F.col("_t") >= F.col("_at") - span))
     counts = hits.groupBy("_pid").agg(F.countDistinct("_v").alias(name))
     return p.join(counts, "_pid", "left").select(*points.columns, F.coalesce(name, F.lit(0)).alias(name))
