@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def build_session(app: str = "prlens", master: str | None = None, **conf: str) -> SparkSession:
     """Build (or get) a session with the settings the operators assume.
@@ -24,3 +30,15 @@ def build_session(app: str = "prlens", master: str | None = None, **conf: str) -
     for k, v in {**base, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their Python path has it already; once a context."""
+    sc = spark.sparkContext
+    paths = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    if ROOT in paths or getattr(sc, "_prlens_shipped", False):
+        return
+    with tempfile.TemporaryDirectory() as tmp:
+        name = shutil.make_archive(os.path.join(tmp, "prlens"), "zip", ROOT, "prlens")
+        sc.addPyFile(name)
+    sc._prlens_shipped = True
