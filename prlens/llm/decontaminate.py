@@ -205,17 +205,19 @@ class BlockMaxIndex:
         return out
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = 0.6, overlap: float = 0.6) -> DataFrame:
-    """``key``, ``contaminated``, ``n_items``, ``items`` (ids, ascending) and ``best_score`` for every row. No shuffle.
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = 0.6, overlap: float = 0.6, keep: tuple[str, ...] | None = None, prefix: str = "") -> DataFrame:
+    """``key`` (or the columns in ``keep``), ``contaminated``, ``n_items``, ``items`` (ids, ascending) and ``best_score`` for every row. No shuffle.
 
-    The items' bytes are measured first; each index holds at most ``INDEX_BYTES`` of them (or one longer item).
+    ``prefix`` goes before the names of the columns that are added, where they would clash. The items' bytes are measured first; each index holds at most ``INDEX_BYTES`` of them (or one longer item).
     """
     spark = docs.sparkSession
     small_batches(spark)
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / INDEX_BYTES))
-    kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.array().cast("array<bigint>").alias("items"), F.lit(0.0).alias("best_score"))
+    keep = tuple(keep) if keep is not None else (key,)
+    names = [f"_k{i}" for i in range(len(keep))]
+    fields = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
+    out = docs.select(*[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)], F.col(text).alias("_text"), F.array().cast("array<bigint>").alias("items"), F.lit(0.0).alias("best_score"))
     for b in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == b) if blocks > 1 else benchmark
         rows = part.select(F.col(item).cast("long"), item_text).where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).collect()  # at most about INDEX_BYTES
@@ -230,7 +232,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
                     if hits:
                         items[i] = sorted({*items[i], *(ix.ids[k] for k in hits)})
                         best[i] = max(best[i], *hits.values())
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_text"), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=["_id", "_text", "items", "best_score"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], batch.column("_text"), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=[*names, "_text", "items", "best_score"])
 
-        out = out.mapInArrow(run, f"_id {kind}, _text string, items array<bigint>, best_score double")
-    return out.select(F.col("_id").alias(key), (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items", "best_score")
+        out = out.mapInArrow(run, f"{fields}, _text string, items array<bigint>, best_score double")
+    found = {"contaminated": F.size("items") > 0, "n_items": F.size("items").cast("long"), "items": F.col("items"), "best_score": F.col("best_score")}
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *[c.alias(prefix + n) for n, c in found.items()])

@@ -254,7 +254,7 @@ def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
-    """``key``, ``n_shingles`` and ``component_id`` for every row; sets link when intersection / union is ``threshold`` or more."""
+    """``key``, ``n_shingles``, ``component_id`` and ``row`` (a hash of id and text) for every row; sets link when intersection / union is ``threshold`` or more."""
     spark = docs.sparkSession
     small_batches(spark)
     num, den = threshold
@@ -482,7 +482,21 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     more = star.repartition("block").sortWithinPartitions("block", "set_id").mapInArrow(solve(True), "u bigint, v bigint")
     labels = components(links.unionByName(written(more, "ngram-more")))
     known = slim.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "set_id")))
-    known = written(known.select("doc_id", "n", "label"), "ngram-known")
+    known = written(known.select("doc_id", "rid", "n", "label"), "ngram-known")
     least = known.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = known.join(least, "label", "left")
-    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("rid").alias("row"))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the one with the smallest id; all rows without n-grams.
+
+    ``groups``: what :func:`near_duplicate_groups` gave for ``docs``. Only rows that are equal in id and text are
+    made distinct by themselves.
+    """
+    rows = groups.groupBy("row").agg(F.min("n_shingles").alias("n"), F.min("component_id").alias("c"), F.min(key).alias("k"), F.count(F.lit(1)).alias("_copies"))
+    least = rows.where("n > 0").groupBy("c").agg(F.min(F.struct("k", "row")).alias("m")).select(F.col("m.row").alias("row"))
+    stay = written(rows.join(least.unionByName(rows.where("n = 0").select("row")), "row", "left_semi").select(F.col("row").alias("_row"), "_copies"), "ngram-stay")
+    found = docs.withColumn("_row", F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))).join(stay, "_row")
+    once, more = found.where("_copies = 1"), found.where("_copies > 1").dropDuplicates(["_row"])
+    return once.unionByName(more).select(*docs.columns)

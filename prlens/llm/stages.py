@@ -16,26 +16,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more; the smallest doc_id stays."""
-    from prlens.llm.jaccard import near_duplicate_groups
+    from prlens.llm.jaccard import near_duplicate_groups, one_of_each
 
-    groups = near_duplicate_groups(docs, shingle=5, threshold=(80, 100))
-    keep = groups.where("component_id = doc_id").select("doc_id")
-    return docs.dropDuplicates(["doc_id"]).join(keep.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return one_of_each(docs, near_duplicate_groups(docs, shingle=5, threshold=(80, 100)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
     from prlens.llm.decontaminate import find_contaminated
 
-    hits = find_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    found = find_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns), prefix="_b_")
+    return found.where("NOT _b_contaminated").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents by the probabilities of the raked source, language and topic weights."""
     from prlens.llm.mixing import mix_documents, with_topic
 
-    return mix_documents(with_topic(docs)).where("selected").select(*docs.columns)
+    return mix_documents(with_topic(docs), prefix="_m_").where("_m_selected").select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
