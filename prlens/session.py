@@ -36,9 +36,8 @@ def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, unless their Python path has it already; once a context."""
     sc = spark.sparkContext
     paths = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
-    if ROOT in paths or getattr(sc, "_prlens_shipped", False):
+    if ROOT in paths or any(x.endswith("prlens.zip") for x in sc._python_includes):
         return
     with tempfile.TemporaryDirectory() as tmp:
         name = shutil.make_archive(os.path.join(tmp, "prlens"), "zip", ROOT, "prlens")
         sc.addPyFile(name)
-    sc._prlens_shipped = True
