@@ -20,6 +20,8 @@ from prlens.llm._arrow import written
 
 #: Cells that may be broadcast to the documents; more are joined by a shuffle.
 BROADCAST_CELLS = 100_000
+#: Cells that are raked as arrays in one row.
+ARRAY_CELLS = 50_000
 
 
 def n_tokens(text: str = "text") -> Column:
@@ -45,37 +47,77 @@ def with_topic(docs: DataFrame, text: str = "text", name: str = "_topic") -> Dat
     return docs.withColumn(name, topic)
 
 
-def rake(cells: DataFrame, margins: tuple[str, ...], smooth: float = 0.5, targets: dict[str, DataFrame] | None = None, tolerance: float = 1e-4, most: int = 40) -> DataFrame:
-    """``margins`` and ``weight`` for a table of ``margins`` and ``tokens``.
+def rake(cells: DataFrame, margins: tuple[str, str, str], smooth: float = 0.5, targets: dict[str, DataFrame] | None = None, rounds: int = 40) -> DataFrame:
+    """``margins`` and ``weight`` for a table of ``margins`` and ``tokens``, after ``rounds`` rounds.
 
     A margin's target shares are ``targets[margin]`` (columns margin, ``share``), or its token shares to the power
-    ``smooth``, normalised. Cells are scaled margin by margin; every third round is written to the shared folder,
-    which cuts the plan, and the loop ends when no margin is off by more than ``tolerance`` of all tokens.
+    ``smooth``, normalised. A weight is a product of one factor a margin. Up to ``ARRAY_CELLS`` cells the factors are
+    arrays in one row and all rounds are one fold; more cells are raked by aggregations, a table a round.
     """
-    targets = dict(targets or {})
-    total = cells.agg(F.sum("tokens").alias("n")).first()["n"] or 0
+    cells = cells.select(*margins, F.coalesce("tokens", F.lit(0)).cast("double").alias("tokens"))
     live = cells.where("tokens > 0")
+    n, total = live.agg(F.count(F.lit(1)), F.sum("tokens")).first()
+    if not n:
+        return cells.select(*margins, F.lit(1.0).alias("weight"))
+    shares = {}
     for m in margins:
-        if m not in targets:
-            shares = live.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(smooth)).alias("_p"))
-            whole = shares.agg(F.sum("_p").alias("p")).first()["p"]
-            targets[m] = shares.select(m, (F.col("_p") / F.lit(whole or 1.0)).alias("share"))
-        targets[m] = written(targets[m], f"target-{m}")
+        if targets and m in targets:
+            shares[m] = targets[m].select(m, "share")
+        else:
+            raised = live.groupBy(m).agg(F.pow(F.sum("tokens"), F.lit(smooth)).alias("_p"))
+            shares[m] = raised.join(F.broadcast(raised.agg(F.sum("_p").alias("_all"))), F.lit(True)).select(m, (F.col("_p") / F.col("_all")).alias("share"))
+    weights = _rake_arrays(live, margins, shares, total, rounds) if n <= ARRAY_CELLS else _rake_tables(live, margins, shares, total, rounds)
+    return cells.join(weights, list(margins), "left").select(*margins, F.coalesce("weight", F.lit(1.0)).alias("weight"))
+
+
+def _rake_arrays(live: DataFrame, margins: tuple[str, str, str], shares: dict[str, DataFrame], total: float, rounds: int) -> DataFrame:
+    """The fold: step 3r + m sets margin m's factors so that its sums under the other two margins' factors meet the targets."""
+    numbered = live
+    row = None
+    for x, m in zip("ijk", margins, strict=True):
+        places = live.groupBy().agg(F.array_sort(F.collect_set(m)).alias("_a")).select(F.posexplode("_a").alias(x, m))
+        numbered = numbered.join(F.broadcast(places), m)
+    numbered = written(numbered, "cells-numbered")
+    for x, m in zip("ijk", margins, strict=True):
+        y, z = [v for v in "ijk" if v != x]
+        lists = numbered.groupBy(x, m).agg(F.collect_list(F.struct(F.col(y).alias("y"), F.col(z).alias("z"), "tokens")).alias("c"))
+        lists = lists.join(shares[m], m, "left").select(x, "c", (F.coalesce("share", F.lit(0.0)) * total).alias("want"))
+        lists = lists.groupBy().agg(F.array_sort(F.collect_list(F.struct(x, "c", "want"))).alias(f"by_{x}"))
+        row = lists if row is None else row.join(lists, F.lit(True))
+    row = written(row, "cells-row")
+    ones = lambda x: F.transform(f"by_{x}", lambda _: F.lit(1.0))
+
+    def fitted(x: str, fy: Column, fz: Column) -> Column:
+        def one(r: Column) -> Column:
+            have = F.aggregate(r["c"], F.lit(0.0), lambda a, e: a + e["tokens"] * F.get(fy, e["y"]) * F.get(fz, e["z"]))
+            return F.coalesce(F.try_divide(r["want"], have), F.lit(0.0))
+
+        return F.transform(f"by_{x}", one)
+
+    def step(s: Column, m: Column) -> Column:
+        a = F.struct(fitted("i", s["j"], s["k"]).alias("i"), s["j"].alias("j"), s["k"].alias("k"))
+        b = F.struct(s["i"].alias("i"), fitted("j", s["i"], s["k"]).alias("j"), s["k"].alias("k"))
+        c = F.struct(s["i"].alias("i"), s["j"].alias("j"), fitted("k", s["i"], s["j"]).alias("k"))
+        return F.when(m % 3 == 0, a).when(m % 3 == 1, b).otherwise(c)
+
+    start = F.struct(ones("i").alias("i"), ones("j").alias("j"), ones("k").alias("k"))
+    factors = written(row.select(F.aggregate(F.sequence(F.lit(0), F.lit(3 * rounds - 1)), start, step).alias("f")), "factors")
+    for x in "ijk":
+        numbered = numbered.join(F.broadcast(factors.select(F.posexplode(f"f.{x}").alias(x, f"f_{x}"))), x)
+    return numbered.select(*margins, (F.col("f_i") * F.col("f_j") * F.col("f_k")).alias("weight"))
+
+
+def _rake_tables(live: DataFrame, margins: tuple[str, str, str], shares: dict[str, DataFrame], total: float, rounds: int) -> DataFrame:
+    """The same rounds over tables; each round is written to the shared folder, which cuts the plan."""
+    shares = {m: written(d, f"target-{m}") for m, d in shares.items()}
     now = live.withColumn("weight", F.lit(1.0))
-    for k in range(0, most if total else 0, 3):
-        for _ in range(3):
-            for m in margins:
-                sums = now.groupBy(m).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_sum"))
-                scale = sums.join(targets[m], m).select(m, (F.col("share") * float(total) / F.col("_sum")).alias("_scale"))
-                now = now.join(scale, m, "left").withColumn("weight", F.col("weight") * F.coalesce("_scale", F.lit(0.0))).drop("_scale")
+    for k in range(rounds):
+        for m in margins:
+            sums = now.groupBy(m).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_sum"))
+            scale = sums.join(shares[m], m, "left").select(m, F.coalesce(F.try_divide(F.col("share") * total, F.col("_sum")), F.lit(0.0)).alias("_scale"))
+            now = now.join(scale, m).withColumn("weight", F.col("weight") * F.col("_scale")).drop("_scale")
         now = written(now, f"rake-{k}")
-        worst = 0.0
-        for m in margins[:-1]:  # the last margin holds exactly
-            sums = now.groupBy(m).agg((F.sum(F.col("tokens") * F.col("weight")) / float(total)).alias("_share"))
-            worst = max(worst, sums.join(targets[m], m).agg(F.max(F.abs(F.col("_share") - F.col("share"))).alias("x")).first()["x"] or 0.0)
-        if worst < tolerance:
-            break
-    return cells.join(now.select(*margins, "weight"), list(margins), "left").select(*margins, F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    return now.select(*margins, "weight")
 
 
 def mix_documents(docs: DataFrame, source: str = "source", lang: str = "lang", topic: str = "_topic", key: str = "doc_id", text: str = "text", rate: float = 0.5, smooth: float = 0.5, prefix: str = "", seed: int = 11) -> DataFrame:
