@@ -47,6 +47,8 @@ NOISE_WORDS = frozenset(
 )
 #: Elements of phrasing that may carry such a class without being a region.
 _INLINE_HINT_OK = frozenset("html body main article".split())
+#: Class names that speak of a page's layout, not of the region that carries them.
+_ABOUT_LAYOUT = re.compile(r"(?:has|no|with|without|is|not)[-_]", re.I)
 _CONTENT_WORDS = frozenset("articlebody".split())
 _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _TAG = re.compile(
@@ -75,25 +77,26 @@ class Line:
     container: int = 0
 
 
-def _hints(attrs: str) -> tuple[bool, bool]:
-    """Whether the attributes mark a noise region, and whether they mark the article's body."""
+def _hints(attrs: str, inside: bool) -> tuple[bool, bool]:
+    """Whether the attributes mark a noise region, and whether they mark the article's body; ``inside``: an article's header is part of it."""
     noise = content = False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             noise = True
         elif name in ("class", "id", "role"):
-            for word in re.split(r"[\s_\-:]+", value):
-                low = word.lower()
-                if low in NOISE_WORDS or any(t.lower() in NOISE_WORDS for t in _TOKEN.findall(word)):
-                    noise = True
+            for name_ in value.split():
+                if _ABOUT_LAYOUT.match(name_):
+                    continue
+                words = {t.lower() for word in re.split(r"[_\-:]+", name_) for t in (word, *_TOKEN.findall(word))}
+                noise = noise or bool(words & NOISE_WORDS - ({"header"} if inside else set()))
         elif name == "itemprop" and value.lower() in _CONTENT_WORDS:
             content = True
     return noise, content
 
 
-def page_lines(page: str) -> list[Line]:
-    """The blocks of a page in page order, empty ones left out."""
+def page_lines(page: str, hints: bool = True) -> list[Line]:
+    """The blocks of a page in page order, empty ones left out; ``hints``: whether class names and ids mark regions."""
     lines: list[Line] = []
     parts: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, noise here or above, article here or above
@@ -174,7 +177,7 @@ def page_lines(page: str) -> list[Line]:
         if tag in VOID_TAGS:
             continue
         above = stack[-1] if stack else ("", False, False)
-        marked, body = _hints(attrs) if attrs.strip() else (False, False)
+        marked, body = _hints(attrs, above[2]) if hints and attrs.strip() else (False, False)
         noise = above[1] or tag in NOISE_TAGS or (marked and tag not in _INLINE_HINT_OK) or (tag == "article" and marked and above[2])
         noise = noise or (tag == "article" and bool(re.search(r"comment|reply|teaser|related|promo", attrs, re.I)))
         noise = noise or (tag == "header" and not above[2])
@@ -245,7 +248,11 @@ def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     if not page:
         return ""
     lines = page_lines(page)
-    return "\n".join(lines[i].text for i in main_lines(lines, window, surge))
+    kept = main_lines(lines, window, surge)
+    if not kept and lines and not re.search(r"<(?:article|main)[\s>]", page, re.I):  # class names that mark the whole page mark nothing
+        lines = page_lines(page, hints=False)
+        kept = main_lines(lines, window, surge)
+    return "\n".join(lines[i].text for i in kept)
 
 
 def extract_main_text(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), window: int = 3, surge: int = 80) -> DataFrame:

@@ -46,6 +46,9 @@ def test_main_text():
     assert main_text(None) == main_text("") == main_text("<p") == main_text("<!-- <p>x</p>") == ""
     assert main_text(f"<article><header><h1>H</h1></header><p>{long}</p><div class='share-buttons'>Share</div><p>End</p></article><p>{long}") == f"H\n{long}\nEnd"
     assert main_text("<p>tiny") == "tiny"
+    assert main_text(f'<div class="has-sidebar"><p>{long}</p></div><div class="side-bar widget">{long}</div>') == long
+    assert main_text(f'<div id="header"><p>{long}</p></div>') == long
+    assert main_text('<div class="ad">Buy</div><article></article>') == ""
     assert main_text("<" * 50_000 + "<p>x") != "" and main_text("<p title='" * 20_000) is not None
 
 
