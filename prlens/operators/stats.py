@@ -6,6 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def running_before_value(df: DataFrame, order: str, sums: dict[str, str], buckets: int = 64) -> DataFrame:
+    """``df`` with sums of columns over all rows with a smaller ``order`` value, for rows that are distinct in it.
+
+    Values are cut into buckets at approximate quantiles (a bounded list); sums run over the buckets' totals and
+    inside each bucket, so no task sorts all rows.
+    """
+    cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
+    edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else None
+    bucket = F.size(F.filter(edges, lambda e: e < F.col(order))) if cuts else F.lit(0)
+    work = df.withColumn("_bucket", bucket)
+    past = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = work.groupBy("_bucket").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
+    totals = totals.select("_bucket", *[F.coalesce(F.sum(f"_s_{n}").over(past), F.lit(0)).alias(f"_p_{n}") for n in sums])
+    inside = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    work = work.withColumns({f"_w_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}).join(F.broadcast(totals), "_bucket")
+    return work.select(*df.columns, *[(F.col(f"_p_{n}") + F.col(f"_w_{n}")).alias(n) for n in sums])
+
+
 def mann_whitney(df: DataFrame, value: str, group: str, first: str, second: str) -> DataFrame:
     """One row: sizes, U of the first group, z with tie correction, two-sided p, and Cliff's delta.
 
@@ -13,8 +31,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, first: str, second: str)
     """
     c = df.where(F.col(value).isNotNull() & F.col(group).isin(first, second)).groupBy(F.col(value).alias("_v")).agg(F.count_if(F.col(group) == first).alias("_a"), F.count_if(F.col(group) == second).alias("_b"))
     c = c.withColumn("_t", F.col("_a") + F.col("_b"))
-    w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("_rank", F.coalesce(F.sum("_t").over(w), F.lit(0)) + (F.col("_t") + 1) / 2)
+    c = running_before_value(c, "_v", {"_before": "_t"}).withColumn("_rank", F.col("_before") + (F.col("_t") + 1) / 2)
     s = c.agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"), F.sum(F.col("_a") * F.col("_rank")).alias("r1"), F.sum(F.pow("_t", F.lit(3.0)) - F.col("_t")).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
@@ -34,7 +51,7 @@ def _two_sided(z: Column) -> Column:
 def bh_fdr(df: DataFrame, p: str = "p", name: str = "q") -> DataFrame:
     """``df`` with Benjamini-Hochberg adjusted values; for tables of tests, which are small."""
     total = df.agg(F.count(p).alias("_m"))
-    ranked = df.where(F.col(p).isNotNull()).withColumn("_r", F.row_number().over(Window.orderBy(p))).crossJoin(F.broadcast(total)).withColumn("_x", F.col(p) * F.col("_m") / F.col("_r"))
+    ranked = df.where(F.col(p).isNotNull()).withColumn("_r", F.row_number().over(Window.orderBy(p))).join(F.broadcast(total), F.lit(True)).withColumn("_x", F.col(p) * F.col("_m") / F.col("_r"))
     return ranked.withColumn(name, F.least(F.lit(1.0), F.min("_x").over(Window.orderBy(F.desc(p), F.desc("_r"))))).drop("_r", "_m", "_x")
 
 
@@ -82,6 +99,5 @@ def before_after(df: DataFrame, key: str, value: str, after: Column) -> DataFram
 def average_ranks(df: DataFrame, value: str, name: str = "avg_rank") -> DataFrame:
     """``df`` with ranks in which ties share their mean; ranks come from counts of distinct values."""
     c = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_t"))
-    w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = c.select("_v", (F.coalesce(F.sum("_t").over(w), F.lit(0)) + (F.col("_t") + 1) / 2).alias(name))
+    ranks = running_before_value(c, "_v", {"_before": "_t"}).select("_v", (F.col("_before") + (F.col("_t") + 1) / 2).alias(name))
     return df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
