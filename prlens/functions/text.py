@@ -96,3 +96,10 @@ def affiliation(company: Column) -> Column:
 def is_bot(login: Column, known: tuple[str, ...] = ()) -> Column:
     """Whether a login is a bot's."""
     return F.coalesce(login.rlike(BOT) | login.isin(*known) if known else login.rlike(BOT), F.lit(False))
+
+
+def mentions(c: Column, lexicon: list[str]) -> Column:
+    """Whether a text holds one of the lexicon's phrases as words."""
+    import re
+
+    return F.coalesce(c.rlike(r"(?i)\b(?:" + "|".join(map(re.escape, lexicon)) + r")\b"), F.lit(False)) if lexicon else F.lit(False)

@@ -117,3 +117,29 @@ def extract_repos(ids: DataFrame, prs: DataFrame, repos: DataFrame, columns: lis
     else:
         found = found.dropDuplicates(["id"])
     return found.select(*columns) if columns else found
+
+
+def contributor_floor(repos: DataFrame, least: int = 30, languages: tuple[str, ...] = ("Python", "C++", "C#")) -> DataFrame:
+    """Repositories with more than ``least`` contributors in one of the languages."""
+    return repos.where((F.col("contributors") > least) & F.col("language").isin(*languages))
+
+
+def with_agent_config(repos: DataFrame, tree: DataFrame, paths: tuple[str, ...] = ("CLAUDE.md", ".github/copilot-instructions.md")) -> DataFrame:
+    """Repositories with ``has_agent_config``: whether their tree (repo_id, path) holds a configuration file of an agent."""
+    have = tree.where(F.col("path").isin(*paths)).select("repo_id").distinct().withColumn("_c", F.lit(True))
+    return repos.join(have, repos["id"] == have["repo_id"], "left").select(*[repos[c] for c in repos.columns], F.coalesce("_c", F.lit(False)).alias("has_agent_config"))
+
+
+def weigh_stale(snapshots: DataFrame, weight: float = 0.0) -> DataFrame:
+    """Snapshots with a ``weight``: 1, or ``weight`` where they are stale or unresolved; 0 drops them at analysis time only."""
+    return snapshots.withColumn("weight", F.when(F.col("is_stale") | F.col("no_prior_commit"), F.lit(float(weight))).otherwise(F.lit(1.0)))
+
+
+def matched_arm(units: DataFrame, treated: str, strata: list[str], order: str, per_unit: int = 1) -> DataFrame:
+    """Treated units and, of each stratum, as many untreated ones (times ``per_unit``), the first by ``order``."""
+    from pyspark.sql import Window
+
+    counts = units.where(F.col(treated)).groupBy(*strata).agg((F.count(F.lit(1)) * per_unit).alias("_n"))
+    w = Window.partitionBy(*strata).orderBy(order)
+    rest = units.where(~F.col(treated)).join(counts, strata).withColumn("_rn", F.row_number().over(w)).where("_rn <= _n")
+    return units.where(F.col(treated)).unionByName(rest.select(*units.columns))

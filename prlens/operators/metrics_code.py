@@ -25,7 +25,7 @@ _NESTED = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, as
 
 def physical_lines(text: Column) -> Column:
     """Lines of a text; 0 for null or empty."""
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.size(F.split(F.regexp_replace(text, r"\n$", ""), "\n"))).cast("long")
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.size(F.split(F.regexp_replace(text, r"\n\z", ""), "\n"))).cast("long")
 
 
 def code_lines(text: Column) -> Column:
@@ -155,3 +155,24 @@ def duplicate_code(files: DataFrame, key: list[str], text: str = "text", tokens:
     runs = base.where(F.size("_w") >= tokens).select(*key, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - (tokens - 1)), lambda i: F.xxhash64(F.slice("_w", i, F.lit(tokens))))).alias("place", "_h"))
     copies = runs.groupBy("_h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     return runs.join(copies, "_h").select(*key, F.col("place").cast("long").alias("place"), "copies")
+
+
+def smell_density(smells: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Smells by kind per 1000 lines of a snapshot (``lines``); architecture smells per component (``components``)."""
+    counts = smells.groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("n"))
+    size = F.when(F.col("kind") == "architecture", F.col("components").cast("double")).otherwise(F.col("lines") / F.lit(1000.0))
+    return counts.join(sizes.select(*keys, "lines", "components"), keys).select(*keys, "kind", "n", F.try_divide(F.col("n"), size).alias("density"))
+
+
+def snapshot_covariates(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Files, physical and code lines, test lines per 1000, test cases and assertions per 1000 code lines of each snapshot."""
+    from prlens.functions.text import TEST_FILE
+
+    is_test = F.col("path").rlike(TEST_FILE)
+    code = code_lines(F.col(text))
+    agg = files.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("files"), F.sum(physical_lines(F.col(text))).alias("loc"), F.sum(code).alias("sloc"), F.sum(F.when(is_test, code).otherwise(0)).alias("_t"),
+        F.sum(test_cases(F.col(text), F.lit("Python"))).alias("_c"), F.sum(asserts(F.col(text))).alias("_a"),
+    )
+    per = lambda c: F.try_divide(F.col(c) * 1000.0, F.col("sloc"))
+    return agg.select(*keys, "files", "loc", "sloc", per("_t").alias("test_lines_per_kloc"), per("_c").alias("test_cases_per_kloc"), per("_a").alias("asserts_per_kloc"))

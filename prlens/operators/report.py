@@ -103,3 +103,40 @@ def bus_factor(df: DataFrame, key: str, person: str, share: float = 0.5) -> Data
     w = Window.partitionBy(key)
     run = counts.withColumns({"_run": F.sum("_n").over(w.orderBy(F.desc("_n"), person).rowsBetween(Window.unboundedPreceding, -1)), "_t": F.sum("_n").over(w)})
     return run.groupBy(key).agg(F.count_if(F.coalesce("_run", F.lit(0)) < F.col("_t") * F.lit(share)).alias("bus_factor"))
+
+
+def composition(df: DataFrame, period: str, category: str) -> DataFrame:
+    """Counts of categories in each period and their share of the period."""
+    counts = df.groupBy(period, category).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(period).agg(F.sum("n").alias("_t"))
+    return counts.join(totals, period).select(period, category, "n", (F.col("n") / F.col("_t")).alias("share"))
+
+
+def dosage(df: DataFrame, key: str, category: str, categories: list[str]) -> DataFrame:
+    """Counts by category as one column each, for use as covariates."""
+    return df.groupBy(key).pivot(category, categories).agg(F.count(F.lit(1))).fillna(0, categories)
+
+
+def process_metrics(prs: DataFrame, key: str, width: str = "30 days") -> DataFrame:
+    """By repository and interval: pull requests, median size and latency (hours), reverts, and the share that names an issue.
+
+    ``prs`` has created_at, closed_at, title, body and size.
+    """
+    late = (F.unix_micros(F.col("closed_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / F.lit(3.6e9)
+    out = prs.groupBy(key, F.window(F.col("created_at").cast("timestamp"), width).alias("_w")).agg(
+        F.count(F.lit(1)).alias("n"), F.median("size").alias("median_size"), F.median(late).alias("median_latency"),
+        F.count_if(F.col("title").rlike(r"(?i)^revert\b")).alias("reverts"), F.avg(F.concat_ws(" ", "title", "body").rlike(r"#[0-9]+").cast("int")).alias("issue_ratio"),
+    )
+    return out.select(key, F.col("_w.start").alias("interval_start"), "n", "median_size", "median_latency", "reverts", "issue_ratio")
+
+
+def quantiles(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Median and 90th percentile by key, for heavy-tailed metrics."""
+    return df.groupBy(key).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.9)).alias("p90"))
+
+
+def change_rates(status: DataFrame) -> DataFrame:
+    """From matched snapshots (status): entities kept, introduced and removed, with rates of introduction and removal."""
+    c = status.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("kept", "introduced", "removed")])
+    before, after = F.col("kept") + F.col("removed"), F.col("kept") + F.col("introduced")
+    return c.select("*", F.try_divide("introduced", after).alias("introduction_rate"), F.try_divide("removed", before).alias("removal_rate"))

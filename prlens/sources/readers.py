@@ -55,3 +55,16 @@ def read_tree(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
 def with_lineage(df: DataFrame) -> DataFrame:
     """Adds each row's file and its modification time."""
     return df.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("source_modified"))
+
+
+def read_findings(spark: SparkSession, path: str, schema: str, form: str = "json") -> DataFrame:
+    """An analyser's output under a declared schema; malformed rows are kept in ``_corrupt_record``."""
+    full = f"{schema}, _corrupt_record string"
+    reader = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    return reader.option("multiLine", True).json(path) if form == "json" else reader.option("header", True).csv(path)
+
+
+def dataset_version(df: DataFrame) -> DataFrame:
+    """Files of a table, their newest change and their bytes, for a version log."""
+    meta = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_size").alias("s")).distinct()
+    return meta.agg(F.count(F.lit(1)).alias("files"), F.max("t").alias("last_modified"), F.sum("s").alias("bytes"), F.bit_xor(F.xxhash64("p", "s", "t")).alias("fingerprint"))

@@ -149,3 +149,27 @@ def test_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("counts").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["event_type"], r["n"]) for r in spark.sql("SELECT * FROM counts").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_small_reports(spark):
+    df = spark.createDataFrame([("p1", "a"), ("p1", "a"), ("p1", "b"), ("p2", "b")], "p string, c string")
+    assert {(r["p"], r["c"]): round(r["share"], 3) for r in report.composition(df, "p", "c").collect()} == {("p1", "a"): 0.667, ("p1", "b"): 0.333, ("p2", "b"): 1.0}
+    assert {r["p"]: (r["a"], r["b"]) for r in report.dosage(df, "p", "c", ["a", "b"]).collect()} == {"p1": (2, 1), "p2": (0, 1)}
+    s = report.change_rates(spark.createDataFrame([("kept",), ("introduced",), ("removed",), ("kept",)], "status string")).first()
+    assert (s["kept"], round(s["introduction_rate"], 3)) == (2, 0.333)
+    units = spark.createDataFrame([(1, True, "x"), (2, False, "x"), (3, False, "x"), (4, False, "y")], "id int, t boolean, s string")
+    assert sorted(r["id"] for r in filters.matched_arm(units, "t", ["s"], "id").collect()) == [1, 2]
+    files = spark.createDataFrame([(1, "tests/test_a.py", "def test_a():\n    assert 1\n"), (1, "b.py", "# c\nx = 1\n\n")], "k int, path string, text string")
+    c = metrics_code.snapshot_covariates(files, ["k"]).first()
+    assert (c["files"], c["loc"], c["sloc"], round(c["asserts_per_kloc"])) == (2, 5, 3, 333)
+    assert spark.createDataFrame([("Refactor this",), (None,)], "t string").select(text.mentions(F.col("t"), ["refactor"])).collect()[0][0]
+
+
+def test_cli(spark, tmp_path):
+    from prlens import cli
+
+    spark.createDataFrame([(1, 1, "Fix", "b", "A", "closed", "2024-01-01T00:00:00Z", None)], "id long, repo_id long, title string, body string, agent string, state string, created_at string, merged_at string").write.parquet(str(tmp_path / "prs"))
+    spark.createDataFrame([(1, 500.0, "Python")], "id long, stars double, language string").write.parquet(str(tmp_path / "repos"))
+    cli.main(["filter", "--prs", str(tmp_path / "prs"), "--repos", str(tmp_path / "repos"), "--star-minimum", "500", "--language", "Python, C#", "--out", str(tmp_path / "out")])
+    (found,) = (tmp_path / "out").iterdir()
+    assert found.name.endswith("-500-pycsharp-deadlinks-1.csv")
