@@ -151,11 +151,15 @@ class QualityModel:
         z = np.add.reduceat(h * att[:, None], first[:-1], axis=0)
         return _sigmoid(z @ w["c"] + w["d"]), att
 
-    def score(self, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
-        """``keep``, ``held_out``, ``score`` and ``predicted`` for every row; kept columns of those names give way. No shuffle."""
+    def score(self, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3, prefix: str = "") -> DataFrame:
+        """``keep``, ``held_out``, ``score`` and ``predicted`` for every row. No shuffle.
+
+        Kept columns of the names that are added give way, or the added ones get a ``prefix``.
+        """
         small_batches(docs.sparkSession)
         model = docs.sparkSession.sparkContext.broadcast(self)
-        keep = tuple(c for c in keep if c not in ("held_out", "score", "predicted"))
+        added = [prefix + c for c in ("held_out", "score", "predicted")]
+        keep = tuple(c for c in keep if c not in added)
         fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,11 +169,11 @@ class QualityModel:
                 s = np.concatenate(found).astype(np.float64) if found else np.empty(0)
                 yield pa.RecordBatch.from_arrays(
                     [*[b.column(c) for c in keep], b.column("_held"), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
-                    names=[*keep, "held_out", "score", "predicted"],
+                    names=[*keep, *added],
                 )
 
         rows = docs.select(*[docs[c] for c in keep], docs["text"].alias("_text"), held_out().alias("_held"))
-        return rows.mapInArrow(run, ", ".join(filter(None, [fields, "held_out boolean, score double, predicted int"])))
+        return rows.mapInArrow(run, ", ".join(filter(None, [fields, f"{added[0]} boolean, {added[1]} double, {added[2]} int"])))
 
 
 def _train(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int, hidden: int, gate: int, seed: int) -> dict[str, np.ndarray]:

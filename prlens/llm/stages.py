@@ -11,7 +11,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from prlens.llm.quality import QualityModel
 
     model = QualityModel.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return model.score(docs, keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    return model.score(docs, keep=tuple(docs.columns), prefix="_q_").where("_q_predicted = 1").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,4 +40,5 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard of 40 and their place in it."""
     from prlens.llm.sharding import shard_documents
 
-    return shard_documents(docs, 40, keep=tuple(docs.columns))
+    added = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}  # these replace columns of their names
+    return shard_documents(docs, 40, keep=tuple(c for c in docs.columns if c not in added))

@@ -273,11 +273,15 @@ class ToxicityModel:
         x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, 2))
         return np.array([r["label"] for r in got]), x
 
-    def score(self, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
-        """``keep``, ``held_out``, ``score``, ``predicted`` for every row; kept columns of those names give way. No shuffle."""
+    def score(self, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5, prefix: str = "") -> DataFrame:
+        """``keep``, ``held_out``, ``score``, ``predicted`` for every row. No shuffle.
+
+        Kept columns of the names that are added give way, or the added ones get a ``prefix``.
+        """
         small_batches(docs.sparkSession)
         model = docs.sparkSession.sparkContext.broadcast(self)
-        keep = tuple(c for c in keep if c not in ("held_out", "score", "predicted"))
+        added = [prefix + c for c in ("held_out", "score", "predicted")]
+        keep = tuple(c for c in keep if c not in added)
         fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,10 +294,10 @@ class ToxicityModel:
                 else:
                     x = np.stack([m.vector(restorer.text(t), index) for t in b.column("_text").to_pylist()]) if len(b) else np.zeros((0, len(m.weights)), np.float32)
                     s = 1 / (1 + np.exp(-np.clip(x.astype(np.float64) @ m.weights, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], b.column("_held"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], b.column("_held"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, *added])
 
         rows = docs.select(*[docs[c] for c in keep], docs["text"].alias("_text"), held_out().alias("_held"))
-        return rows.mapInArrow(run, ", ".join(filter(None, [fields, "held_out boolean, score double, predicted int"])))
+        return rows.mapInArrow(run, ", ".join(filter(None, [fields, f"{added[0]} boolean, {added[1]} double, {added[2]} int"])))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, epochs: int) -> np.ndarray:

@@ -350,4 +350,8 @@ def test_pipeline(spark, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert not seen[0] & {i for i, _ in bad} and seen[0] >= {i for i, _ in good}
     assert seen[1] == seen[0] - {700, 701} and seen[2] == seen[1] - {702} and seen[3] <= seen[2] and seen[4] == seen[3]
+    clash = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumns({c: F.lit(1) for c in ("score", "predicted", "label", "contaminated", "items", "weight", "selected")})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        clash = stage(spark, clash, str(tmp_path))
+        assert clash.columns[5:] == ["score", "predicted", "label", "contaminated", "items", "weight", "selected"] and clash.agg(F.min("score"), F.max("weight")).first() == (1, 1)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
