@@ -38,15 +38,26 @@ def written(df: DataFrame, what: str, partition_by: tuple[str, ...] = ()) -> Dat
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`written` made, once all that was derived from it is written itself."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clean_memory(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of queries that have ended."""
+    """Let Spark drop the shuffle files of queries that have ended: a first collection frees their plans, a second their shuffles."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

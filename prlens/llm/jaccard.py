@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prlens.llm._arrow import clean_memory, packs, small_batches, written
+from prlens.llm._arrow import clean_memory, discard, packs, small_batches, written
 from prlens.llm.components import components
 from prlens.llm.suffix_dedup import _blob, _groups, _mixed, _power, _unblob
 
@@ -39,6 +39,8 @@ PART_BYTES, BUCKET_BYTES = 3 << 20, 24 << 20
 FREQUENT, MOST_FREQUENT = 64, 400_000
 #: Groups that a set is joined in before pairs are counted, and sets of a block.
 BLOCKS, BLOCK_SETS = 3, 400
+#: Blocks of a set that are looked up to leave out pairs that a block has tested.
+TESTED = 4
 _TABLE = np.random.default_rng(31).integers(1, 2**63, 256, dtype=np.uint64)
 _PLACE = np.random.default_rng(32).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -324,7 +326,7 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
                 ids_, rids, nulls, sets, sizes = _unblob(b, "<i8", "<i8", "u1", "<i8", "<i4")
                 yield pa.RecordBatch.from_arrays([pa.array(ids_, mask=nulls.astype(bool)), pa.array(rids), pa.array(sets), pa.array(sizes.astype(np.int64))], names=["doc_id", "rid", "set_id", "n"])
 
-    slim = entries.where("bucket = -1").mapInArrow(unpack, "doc_id bigint, rid bigint, set_id bigint, n bigint")
+    slim = written(entries.where("bucket = -1").mapInArrow(unpack, "doc_id bigint, rid bigint, set_id bigint, n bigint"), "ngram-slim")
 
     def gather(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One bucket of prefix n-grams: distinct groups of sets, with the number of n-grams that give them; each set's first groups."""
@@ -381,6 +383,7 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
         yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], names=["bucket", "set_id", "tag", "block", "head", "body"])
 
     groups = written(entries.where("bucket >= 0").groupBy("bucket").applyInArrow(gather, "bucket int, set_id bigint, tag bigint, block bigint, head binary, body binary"), "ngram-groups")
+    discard(entries)
     clean_memory(spark)
     asked = groups.where("set_id IS NOT NULL").groupBy("set_id").agg(F.array_sort(F.collect_set(F.struct("tag", "block"))).alias("l"))
     few = F.filter("l", lambda x, i: (x["tag"] < 0) | (i < BLOCKS + F.size(F.filter("l", lambda y: y["tag"] < 0))))
@@ -431,6 +434,7 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
     in_blocks = asked.select("set_id", F.explode("blocks").alias("block")).join(texts, "set_id")
     links = written(in_blocks.repartition("block").sortWithinPartitions("block", "set_id").mapInArrow(solve(False), "u bigint, v bigint"), "ngram-links")
+    clean_memory(spark)
     labels = components(links)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,13 +448,14 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     labelled = every.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     mixed = labelled.groupBy("name").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("name")
     # pairs of a group in different components; sets of one component are not paired
-    m = labelled.join(mixed, "name").select("name", "weight", "set_id", "n", "label")
+    tested = asked.select("set_id", *[F.get("blocks", F.lit(j)).alias(f"b{j}") for j in range(TESTED)])
+    m = labelled.join(mixed, "name").join(tested, "set_id", "left").select("name", "weight", "set_id", "n", "label", *[F.coalesce(f"b{j}", F.lit(0)).alias(f"b{j}") for j in range(TESTED)])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups that come one after another: their pairs of sets in different components with fitting sizes."""
+        """Groups that come one after another: their pairs of sets in different components, with fitting sizes, that no block has tested."""
         rest: list[np.ndarray] | None = None
 
-        def pairs(name: np.ndarray, weight: np.ndarray, s: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def pairs(name: np.ndarray, weight: np.ndarray, s: np.ndarray, n: np.ndarray, label: np.ndarray, *blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
             ends = np.searchsorted(name, name, "right")
             for lo in range(0, len(name), 2000):
                 i = np.arange(lo, min(len(name), lo + 2000))
@@ -459,12 +464,17 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
                 right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
                 ok = (label[left] != label[right]) & (n[left].astype(np.int64) * den >= num * n[right].astype(np.int64))
                 left, right = left[ok], right[ok]
+                new = np.ones(len(left), bool)
+                for x in blocks:
+                    for y in blocks:
+                        new &= (x[left] != y[right]) | (x[left] == 0)
+                left, right = left[new], right[new]
                 a, b = np.minimum(s[left], s[right]), np.maximum(s[left], s[right])
                 na, nb = np.where(s[left] < s[right], n[left], n[right]), np.where(s[left] < s[right], n[right], n[left])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), pa.array(weight[left].astype(np.int64))], names=["a", "b", "na", "nb", "c"])
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("name", "weight", "set_id", "n", "label")]
+            cols = [batch.column(c).to_numpy() for c in ("name", "weight", "set_id", "n", "label", *(f"b{j}" for j in range(TESTED)))]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             at = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
@@ -477,10 +487,16 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     pairs = m.repartition("name").sortWithinPartitions("name", "n", "set_id").mapInArrow(across, "a bigint, b bigint, na int, nb int, c bigint").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     left = lambda n: F.ceil(F.col(n) * num / den).cast("long") - 1  # noqa: E731  elements of a set beyond its prefix
     need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-9)
-    open_pairs = written(pairs.where(F.col("c") + F.greatest(left("na"), left("nb")) >= need).select("a", "b"), "ngram-pairs")
+    clean_memory(spark)
+    # two n-grams of a set may share a tag, so counts are allowed to be short by two
+    open_pairs = written(pairs.where(F.col("c") + 2 + F.greatest(left("na"), left("nb")) >= need).select("a", "b"), "ngram-pairs")
     star = open_pairs.select(F.col("a").alias("block"), F.explode(F.array("a", "b")).alias("set_id")).distinct().join(texts, "set_id")
     more = star.repartition("block").sortWithinPartitions("block", "set_id").mapInArrow(solve(True), "u bigint, v bigint")
-    labels = components(links.unionByName(written(more, "ngram-more")))
+    more = written(more, "ngram-more")
+    for done in (groups, texts, asked):
+        discard(done)
+    clean_memory(spark)
+    labels = components(links.unionByName(more))
     known = slim.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "set_id")))
     known = written(known.select("doc_id", "rid", "n", "label"), "ngram-known")
     least = known.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
