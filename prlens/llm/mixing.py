@@ -34,17 +34,20 @@ def n_tokens(text: str = "text") -> Column:
 def with_topic(docs: DataFrame, text: str = "text", name: str = "_topic") -> DataFrame:
     """Adds the text's form as its topic: tables, marked-up words, shouting, notes (under 60 words), essays (2,000 and more), prose."""
     t = F.coalesce(F.col(text), F.lit(""))
+    work = docs.withColumn("_words", n_tokens(text))  # counted once, used by each test below
 
-    def times(mark: str) -> Column:
-        return (F.octet_length(t) - F.octet_length(F.replace(t, F.lit(mark), F.lit("")))) / len(mark)
+    def share(*marks: str) -> Column:
+        """Whether a mark of one length stands at more than a tenth of the words."""
+        bare = t
+        for m in marks:
+            bare = F.replace(bare, F.lit(m), F.lit(""))
+        return F.octet_length(t) - F.octet_length(bare) > 0.1 * len(marks[0]) * F.col("_words")
 
-    words = n_tokens(text)
-    share = lambda mark: times(mark) > 0.1 * words
     topic = (
-        F.when(words == 0, "empty").when(share(" | "), "table").when(share("$$$") | share("###") | share("&&&") | share("%%%") | share("***"), "marked")
-        .when(share("!!"), "shouting").when(words < 60, "note").when(words >= 2000, "essay").otherwise("prose")
+        F.when(F.col("_words") == 0, "empty").when(share(" | "), "table").when(share("$$$", "###", "&&&", "%%%", "***"), "marked")
+        .when(share("!!"), "shouting").when(F.col("_words") < 60, "note").when(F.col("_words") >= 2000, "essay").otherwise("prose")
     )
-    return docs.withColumn(name, topic)
+    return work.withColumn(name, topic).drop("_words")
 
 
 def rake(cells: DataFrame, margins: tuple[str, str, str], smooth: float = 0.5, targets: dict[str, DataFrame] | None = None, rounds: int = 40) -> DataFrame:
