@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prlens.llm._arrow import clean_memory, packs, small_batches, written
+from prlens.llm._arrow import clean_memory, discard, packs, small_batches, written
 from prlens.llm.suffix import repeated_windows
 
 #: Bytes of text that are hashed at once, and that share a pre-aggregation.
@@ -322,6 +322,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         text_parts.groupBy("part").cogroup(settled.groupBy("part")).applyInArrow(fetch, "kind int, place int, doc_id bigint, rid bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, head binary, body binary"),
         "repeats-found", ("kind",),
     )
+    discard(settled)
     clean_memory(spark)
 
     def sort_shard(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
