@@ -2,8 +2,9 @@
 
 Documents are counted into cells of (source, language, topic) once; only that table is raked: each margin in
 turn scales the cells so that its tokens meet the target, until all margins hold. A document's inclusion
-probability is its cell's weight times ``rate``, at most 1; a hash of its id decides, so a rerun or a retried
-task samples alike.
+probability is its cell's weight times ``rate``, or times 1 / (largest weight) where ``rate`` would bring a cell over
+1: no probability is cut, so the expected tokens of the sample meet the margins that the weights meet. A hash of its
+id decides, so a rerun or a retried task samples alike.
 
 Defined results: null source, language or topic is a category of its own; a null or empty text has no tokens,
 and a cell without tokens keeps weight 1; a null id is hashed like any value; repeated rows share their fate; an
@@ -124,12 +125,17 @@ def _rake_tables(live: DataFrame, margins: tuple[str, str, str], shares: dict[st
 
 
 def mix_documents(docs: DataFrame, source: str = "source", lang: str = "lang", topic: str = "_topic", key: str = "doc_id", text: str = "text", rate: float = 0.5, smooth: float = 0.5, prefix: str = "", seed: int = 11) -> DataFrame:
-    """``docs`` with its tokens, the raked weight of its cell, its inclusion probability and whether it is selected."""
+    """``docs`` with its tokens, the raked weight of its cell, its inclusion probability and whether it is selected.
+
+    ``rate``: expected share of the tokens in the sample, as far as the largest weight lets it.
+    """
     named = docs.withColumns({f"_c{k}": F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for k, c in enumerate((source, lang, topic))}).withColumn(prefix + "n_tokens", n_tokens(text))
     margins = ("_c0", "_c1", "_c2")
     cells = written(named.groupBy(*margins).agg(F.sum(prefix + "n_tokens").alias("tokens")), "cells")
     weights = written(rake(cells, margins, smooth), "weights")
-    if weights.count() <= BROADCAST_CELLS:
+    n, largest = weights.agg(F.count(F.lit(1)), F.max("weight")).first()
+    rate = min(rate, 1 / largest) if largest else rate
+    if n <= BROADCAST_CELLS:
         weights = F.broadcast(weights)
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) * (2.0**-53)
     out = named.join(weights.withColumnRenamed("weight", "_weight"), list(margins), "left")

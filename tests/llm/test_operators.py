@@ -327,6 +327,17 @@ def test_mixing(spark):
     assert "weight" in clash.columns and "_m_weight" in clash.columns
 
 
+def test_mixing_sample_meets_margins(spark):
+    from prlens.llm import mixing
+
+    rows = [(i, prose(80), "en" if i % 3 else "de", "s0", 0) for i in range(600)] + [(1000 + i, prose(30), "es" if i % 2 else "en", "s1", 0) for i in range(6)]
+    got = mixing.mix_documents(mixing.with_topic(spark.createDataFrame(rows, DOCS))).toPandas()
+    assert got.weight.max() * 0.5 > 1 and got.probability.between(0, 1).all()
+    for m in ("source", "lang", "_topic"):
+        g = got.assign(p=got.n_tokens * got.probability).groupby(m).agg(n=("n_tokens", "sum"), p=("p", "sum"))
+        assert np.allclose(g.p / g.p.sum(), g.n**0.5 / (g.n**0.5).sum(), atol=1e-4)
+
+
 # ---- the pipeline ------------------------------------------------------------------------------------------------------
 
 
