@@ -1,10 +1,10 @@
 """Information-theoretic sanitisation of personal data, in built-in expressions only.
 
-Base spans (e-mail addresses, IP addresses, card numbers, phone numbers) are the protected entities. Words near
-an entity's occurrences are its terms. Over the corpus, a term t discloses an entity e by the information that
-seeing t gives about e, as a share of all there is: PMI(t; e) / IC(e), with PMI = ln(p(t, e) / (p(t) p(e))) and
-IC = -ln p(e); p counts documents. Terms at or above the threshold, seen with the entity in enough documents,
-are spans too, and are generalised or removed.
+Base spans (e-mail addresses, IP addresses, card numbers, phone numbers) are the protected entities. Words (three
+letters or more, outside base spans) anywhere in a document with an entity are its terms. Over the corpus, a term t
+discloses an entity e by the information that seeing t gives about e, as a share of all there is: PMI(t; e) / IC(e),
+with PMI = ln(p(t, e) / (p(t) p(e))) and IC = -ln p(e); p counts documents. IC weighs rare entities, none is left out.
+Every occurrence of a term at or above the threshold for any entity is a span, in all documents, and is removed.
 
 Defined results: null and empty texts hold no spans; a null id is carried; repeated rows count one by one and get
 equal spans; an empty table gives an empty table; positions are code points, ends exclusive.
@@ -25,9 +25,11 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _IP_OK = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
-#: Code points of text looked at on each side of an entity, and how many terms of each side.
-NEAR, TERMS = 64, 5
-_WORD_BEFORE, _WORD_AFTER = r"(?<=[^\p{L}\p{N}])\p{L}{3,}(?=[^\p{L}\p{N}])", r"(?<=[^\p{L}\p{N}])\p{L}{3,}(?=[^\p{L}\p{N}])"
+#: Words, and pieces of a text that no border of a word falls into.
+WORD = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
+_LONG, _SHORT = r"(?s).{1,20000}+[\p{L}\p{N}]*+", r"(?s).{1,200}+[\p{L}\p{N}]*+"
+#: Hash values by which words that are no told terms are left out before a shuffle; at most so many are broadcast.
+BUCKETS = 1 << 21
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -75,55 +77,62 @@ def _written_spans(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat(F.lit(kind + ":"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string")))
 
 
-def _nearby(text: Column, x: Column, kind: Column) -> Column:
-    """Terms on both sides of a span, with their positions, under the span's entity."""
-    lo = F.greatest(F.lit(0), x["s"] - NEAR)
-    padded = F.concat(F.lit(" "), text, F.lit(" "))  # position p of the text is p + 2 here, from 1
-    before = padded.substr(lo + 1, x["s"] - lo + 1)  # starts one before lo
-    after = padded.substr(x["e"] + 2, F.lit(NEAR))
-    entity = F.concat(kind, F.lit(":"), F.when(kind == "email", F.lower(x["v"])).otherwise(F.regexp_replace(x["v"], "[^0-9.]", "")))
-    shift = lambda arr, by: F.transform(arr, lambda w: F.struct((w["s"] + by).alias("s"), (w["e"] + by).alias("e"), F.lower(w["v"]).alias("term"), entity.alias("entity")))
-    left = located(F.concat(before, F.lit(" ")), _WORD_BEFORE)
-    left = F.slice(left, F.greatest(F.lit(1), F.size(left) - TERMS + 1), F.lit(TERMS))
-    right = F.slice(located(F.concat(F.lit(" "), after), _WORD_AFTER), 1, TERMS)
-    return F.concat(shift(left, lo - 1), shift(right, x["e"] - 1))
+def _bare(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans."""
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+
+    def step(acc: Column, x: Column) -> Column:
+        s, e = F.greatest(x["s"], acc["at"]), F.greatest(x["e"], acc["at"])
+        return F.struct(e.alias("at"), F.concat(acc["out"], text.substr(acc["at"] + 1, s - acc["at"]), F.repeat(F.lit(" "), e - s)).alias("out"))
+
+    done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return F.when(F.size(spans) > 0, F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))).otherwise(text)
+
+
+def _words(text: Column) -> Column:
+    """The different words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: F.lower(w)))
 
 
-def find_private(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, support: int = 3) -> DataFrame:
+def _occurrences(bare: DataFrame) -> DataFrame:
+    """``row``, ``s``, ``e`` and ``term`` of every word; texts are cut into pieces, so that time grows with their length."""
+    rows = bare.select("row", F.explode(located(F.col("_b"), _LONG)).alias("x"))
+    rows = rows.select("row", F.col("x.s").alias("_s"), F.explode(located(F.col("x.v"), _SHORT)).alias("x"))
+    rows = rows.select("row", (F.col("_s") + F.col("x.s")).alias("_s"), F.explode(located(F.col("x.v"), WORD)).alias("x"))
+    return rows.select("row", (F.col("_s") + F.col("x.s")).alias("s"), (F.col("_s") + F.col("x.e")).alias("e"), F.lower("x.v").alias("term"))
+
+
+def find_private(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row per document: counts of each kind, ``base`` and ``terms`` (arrays of spans), ``row`` (a hash of id and text).
 
-    ``support``: documents in which a term must stand near the entity. Counts of terms cover all documents. Only the
-    spans and their terms are kept between the steps, in a table in the shared folder.
+    Only the spans, and the words of documents that hold an entity, are kept between the steps, in a table in the
+    shared folder. Words of all documents are counted in their tasks first; their places are looked up by the told terms.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     spans = docs.select(F.col(key).alias("_id"), t.alias("_t"))
     found = spans.select("_id", "_t", F.xxhash64("_id", "_t").alias("row"), *[c.alias(k) for k, c in base_spans(F.col("_t")).items()])
     tagged = lambda k: F.transform(F.col(k), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), F.lit(k).alias("kind")))
-    every = F.concat(*[tagged(k) for k in KINDS])
-    near = F.when(F.size("_all") > 0, F.flatten(F.transform("_all", lambda x: _nearby(F.col("_t"), x, x["kind"]))))
-    slim = written(
-        found.withColumn("_all", every).select("_id", "row", *KINDS, near.alias("near"), F.array_distinct(F.transform("_all", lambda x: F.concat(x["kind"], F.lit(":"), F.when(x["kind"] == "email", F.lower(x["v"])).otherwise(F.regexp_replace(x["v"], "[^0-9.]", ""))))).alias("entities")),
-        "pii",
-    )
+    found = found.withColumn("_all", F.concat(*[tagged(k) for k in KINDS]))
+    found = found.withColumn("_b", _bare(F.col("_t"), F.col("_all")))
+    named = F.transform("_all", lambda x: F.concat(x["kind"], F.lit(":"), F.when(x["kind"] == "email", F.lower(x["v"])).otherwise(F.regexp_replace(x["v"], "[^0-9.]", ""))))
+    slim = written(found.select("_id", "row", *KINDS, F.array_distinct(named).alias("entities"), F.when(F.size("_all") > 0, _words(F.col("_b"))).alias("words")), "pii")
     total = slim.count()
-    entities = slim.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
-    together = (
-        slim.where(F.size("near") > 0)
-        .select(F.explode(F.array_distinct(F.transform("near", lambda w: F.struct(w["term"].alias("term"), w["entity"].alias("entity"))))).alias("p"))
-        .groupBy("p.term", "p.entity").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
-    )
-    pairs = written(together.join(entities, "entity"), "pii-pairs")
-    terms = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))).alias("term"))
-    # words are counted before they meet the terms, so that the join makes a row a term at most
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term")
     n = F.lit(float(max(total, 1)))
+    entities = slim.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") < n)
+    entities = written(entities, "pii-entities")
+    together = slim.where(F.size("words") > 0).select("entities", F.explode("words").alias("term")).select("term", F.explode("entities").alias("entity"))
+    pairs = together.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te")).join(entities, "entity")
+    # as n_te <= n_e, PMI / IC >= threshold needs n_t <= n_e ** threshold * n ** (1 - threshold): words in more documents tell of no entity
+    most = entities.agg(F.max("n_e")).first()[0] or 0
+    counts = found.select(F.explode(_words(F.col("_b"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    counts = counts.where(F.col("n_t") <= most**threshold * max(total, 1) ** (1 - threshold) + 1)
     pmi = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    told = pairs.join(counts, "term").where((F.col("n_e") < n) & (pmi >= threshold * F.log(n / F.col("n_e")))).select("term", "entity")
-    told = written(told, "pii-told")
-    shown = slim.where(F.size("near") > 0).dropDuplicates(["row"]).select("row", F.explode("near").alias("w")).select("row", "w.s", "w.e", "w.term", "w.entity").join(told, ["term", "entity"], "left_semi")
-    added = shown.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e", F.col("term").alias("v")))).alias("terms"))
-    out = slim.drop("near", "entities").join(added, "row", "left")
+    told = written(pairs.join(counts, "term").where(pmi >= threshold * F.log(n / F.col("n_e")) - 1e-9).select("term").distinct(), "pii-told")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("_bucket")
+    places = _occurrences(found.select("row", "_b")).withColumn("_bucket", bucket)
+    places = places.join(F.broadcast(told.select(bucket).distinct()), "_bucket", "left_semi").drop("_bucket").join(told, "term", "left_semi")
+    added = places.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e", F.col("term").alias("v")))).alias("terms"))
+    out = slim.drop("words", "entities").join(added, "row", "left")
     return out.select(F.col("_id").alias(key), "row", *KINDS, F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,v:string>>")).alias("terms"))
 
 

@@ -308,6 +308,18 @@ def test_private_terms(spark):
     assert "[email]" in clean[200] and "zebulon" not in clean[200] and clean[5] == texts[5] and len(clean) == len(rows)
 
 
+def test_private_terms_whole_corpus(spark):
+    from prlens.llm.pii import find_private
+
+    far = prose(6000)
+    rows = [(i, prose(40)) for i in range(60)] + [(100, f"Zebulon é {far} x zeb@mail.example.com y Zebulon9 {far} zebulon."), (101, f"{prose(5)} (zebulon) quixote"), (102, None)]
+    got = {r["doc_id"]: r["terms"] for r in find_private(frame(spark, rows), threshold=0.8).collect()}
+    texts = dict(rows)
+    for d, n in ((100, 2), (101, 1)):  # an entity of one document; far from it, and in a document without it
+        assert [(x["s"], x["e"]) for x in got[d]] == [m.span() for m in re.finditer(r"\bzebulon\b", texts[d].lower())] and len(got[d]) == n
+    assert not any(got[i] for i in range(60)) and not got[102]
+
+
 def test_mixing(spark):
     from prlens.llm import mixing
 
