@@ -58,25 +58,45 @@ for _k, _c in enumerate(_LETTERS, 1):
 STRETCH = 48
 #: Characters of word beginnings that are features, and whole words.
 PREFIXES = (4, 5, 6)
-_KIND = np.zeros(256, np.uint8)  # 1 letter, 2 sign, 4 spacer, 8 mark inside a word
-for _b in range(256):
-    _KIND[_b] = (chr(_b).isalpha() and _b < 128 or _b >= 128) + 2 * (chr(_b) in LOOK_ALIKES) + 4 * (chr(_b) in " .-_*,/~^") + 8 * (chr(_b) in "*._-")
-
-
-def _may_hold_candidate(text: bytes) -> bool:
-    """Whether a lower-cased text has any place where a candidate could be (a cheap test over its bytes)."""
-    b = np.frombuffer(text, np.uint8)
+_KIND = np.zeros(1 << 16, np.uint8)  # by character: 1 letter, 2 sign, 4 spacer, 8 mark inside a word
+for _bit, _chars in ((1, r"[^\W\d_]"), (2, f"[{_SIGNS}]"), (4, _SPACERS), (8, r"[*._\-]")):
+    for _m in re.finditer(_chars, "".join(map(chr, range(1 << 16)))):
+        _KIND[_m.start()] |= _bit
+
+
+def _may_hold_candidate(text: str) -> bool:
+    """Whether a lower-cased text has any place where a candidate could be: true wherever CANDIDATE matches."""
+    if text.isascii():
+        b = np.frombuffer(text.encode(), np.uint8)
+    else:
+        b = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if (b >= len(_KIND)).any():  # beyond the table
+            return True
     if len(b) < 3:
-        return False
-    k = _KIND[b]
-    if ((k[:-1] & 2) & ((k[1:] & 1) << 1)).any():
+        b = np.append(b, np.full(3, 10, b.dtype))  # line ends, which no candidate holds
+    k = np.append(_KIND[b], np.zeros(4, np.uint8))
+    letter, mark = (k & 1) > 0, (k & 8) > 0
+    if (((k[:-1] & 2) > 0) & letter[1:]).any():
+        return True
+    if ((b[:-2] == b[1:-1]) & (b[1:-1] == b[2:]) & letter[2 : len(b)]).any():
         return True
-    letter = (k & 1).astype(bool)
-    if ((b[:-2] == b[1:-1]) & (b[1:-1] == b[2:]) & letter[2:]).any() or (letter[:-2] & (k[1:-1] & 8).astype(bool) & letter[2:]).any():
+    if (letter[:-3] & mark[1:-2] & mark[2:-1] & letter[3:]).any():  # a doubled mark
         return True
-    one = ((k & 3) > 0) & np.concatenate([[True], (k[:-1] & 3) == 0]) & np.concatenate([(k[1:] & 3) == 0, [True]])
-    where = np.flatnonzero(one)
-    return len(where) > 3 and bool((where[3:] - where[:-3] <= 9).any())
+    inside = np.flatnonzero(letter[:-2] & mark[1:-1] & letter[2:]) + 1
+    if len(inside):
+        if ((b[inside] == ord("*")) | (b[inside] == ord("_"))).any():
+            return True
+        others = np.cumsum(~letter)
+        if (np.diff(others[inside]) == 1).any():  # two marks with letters only between them
+            return True
+    unit, spacer = (k & 3) > 0, (k & 4) > 0
+    step = np.full(len(k), -1)  # to the unit after one or two spacers
+    step[:-3] = np.where(unit[:-3] & spacer[1:-2], np.where(unit[2:-1], 2, np.where(spacer[2:-1] & unit[3:], 3, -1)), -1)
+    at = np.flatnonzero(step > 0)
+    for _ in range(3):
+        at = at[step[at] > 0]
+        at = at + step[at]
+    return len(at) > 0
 
 
 _RUN = re.compile(r"(.)\1*", re.S)
@@ -174,7 +194,7 @@ class Restorer:
             if re.search("[\uff01-\uff5e\U0001d400-\U0001d7ff]", low):  # full-width and mathematical letters
                 low = unicodedata.normalize("NFKC", low).lower()
             low = low.translate(HOMOGLYPHS) if re.search("[Ͱ-ϿЀ-ӿԀ-ԯ]", low) else low
-        if not _may_hold_candidate(low.encode("utf-8", "replace")):
+        if not _may_hold_candidate(low):
             return low
         return CANDIDATE.sub(lambda m: m[0] if m[0].isalpha() and not m[0].isascii() else " " + self.word(m[0]) + " " if not m[0].isalpha() else self.word(m[0]), low)
 

@@ -101,6 +101,19 @@ def test_toxicity(spark):
 # ---- search ------------------------------------------------------------------------------------------------------------
 
 
+def test_no_candidate_is_skipped():
+    from prlens.llm.toxicity import CANDIDATE, _may_hold_candidate
+
+    own = random.Random(5)
+    for signs in ("ab1€·-_* .!é", "aé·€ ", "ab*-_.", "a. \n0", "ab c“~^/,|Ա\U0001d400٣"):
+        for _ in range(20_000):
+            t = "".join(own.choice(signs) for _ in range(own.randint(0, 14)))
+            assert not CANDIDATE.search(t) or _may_hold_candidate(t), t
+    for t in ("path€tic", "i·d·i·o·t", "id**iot", "st--upid", "cl__own", "a\n“i d i o"):
+        assert CANDIDATE.search(t) and _may_hold_candidate(t), t
+    assert not _may_hold_candidate("plain words, a well-known one. and no more") and not _may_hold_candidate("")
+
+
 def test_decontaminate(spark):
     from prlens.llm.decontaminate import BlockMaxIndex, find_contaminated
 
