@@ -9,24 +9,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that the JVM hands to Python at once; a batch's memory is this many texts.
 BATCH_ROWS = 512
 
 
+#: Bytes of a batch; Spark closes a batch once it has this much.
+BATCH_BYTES = 4 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of this session by ``rows`` (documents may be very long)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    """Bound the Arrow batches of this session by ``rows`` and ``BATCH_BYTES`` (documents may be very long)."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``).
 
-    Only where the session names none (as in tests on one machine) a local default is used.
+    Only where the session names none and runs on one machine, as in tests, a local default is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -49,6 +58,15 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a table of a few numbers each that is broadcast; about 64 MB.
+FITTING_ROWS = 1_000_000
+
+
+def fitting(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it is small; else the join shuffles."""
+    return F.broadcast(table) if table.count() <= FITTING_ROWS else table
+
+
 def clean_memory(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of queries that have ended: a first collection frees their plans, a second their shuffles."""
     import gc

@@ -1,22 +1,25 @@
 """Near-duplicate groups by a prefix-tree join of n-gram sets, exact at any size.
 
-A document's set holds the hashes of its distinct word n-grams, in one global order: n-grams that few documents
-hold come first, frequent ones last. Two sets that are similar enough share an n-gram in their prefixes. Documents
-with equal sets are one set. The join runs in rounds:
-
-1. Prefix n-grams are dealt by hash; n-grams with several sets give groups of sets.
-2. A set goes to the blocks of a few of its groups. A block stores its sets in a trie and joins them exactly by
-   traversals that share partial overlaps and prune subtrees by the overlap that the remaining lengths still allow;
-   subtrees that already are in the set's component are left out. Links give components.
-3. Pairs of a group that are in different components by then are counted over all groups. A pair whose shared
-   prefix n-grams and remaining lengths cannot give the overlap is no link; all others are joined exactly.
-
-So every pair that shares a prefix n-gram is either in one component or was tested; nothing is capped or sampled.
+A document's set holds the hashes of its distinct word n-grams; documents with equal sets are one set. Two sets that
+are similar enough share an n-gram in their prefixes, in any global order. The join runs in steps:
+
+1. Prefixes in hash order, made longer so that several of their n-grams must be shared, are dealt by hash. Sets that
+   share too few are left out; they link with nothing.
+2. For the n-grams of the other sets the holders are counted. That gives the global order of the join: n-grams that
+   few sets hold first. N-grams of one set are no longer needed; sets that have too many of them are left out.
+3. Prefix n-grams in this order give groups of sets. Every set goes to one block of its largest group. A block keeps
+   its sets in a trie and joins them exactly by traversals that share partial overlaps and prune subtrees by the
+   overlap that the remaining lengths still allow, or whose sets are all in the same component.
+4. Groups whose sets are in different components by then are joined in pairs of blocks, those of a group's main
+   component only with others. No pairs of sets are made.
+
+So two sets that share a prefix n-gram are either in one component or were compared; nothing is capped or sampled.
+N-grams and sets are told apart by 64-bit hashes: among 2e10 different sets about ten pairs are expected to collide.
 
 Defined results: null and empty texts, and texts without words, have no n-grams, are linked with nothing and are
-their own component; texts with fewer words than n have their whole sequence as one n-gram; rows that repeat an
-id share the row's results of their own text; a null id takes its component's smallest id; an empty table gives
-an empty table.
+their own component; texts with fewer words than n have their whole sequence as one n-gram; very long texts are sets
+like others; rows that repeat an id share the results of their own text; a null id is larger than any other and takes
+its component's smallest id; an empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,22 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prlens.llm._arrow import clean_memory, discard, packs, small_batches, written
+from prlens.llm._arrow import clean_memory, discard, fitting, packs, small_batches, written
 from prlens.llm.components import components
 from prlens.llm.suffix_dedup import _blob, _groups, _mixed, _power, _unblob
 
 CHUNK, PACK = 192 << 10, 6 << 20
-PART_BYTES, BUCKET_BYTES = 3 << 20, 24 << 20
-#: N-grams counted as frequent: held by this many sets or more (as far as packs see), the most frequent of them at most.
-FREQUENT, MOST_FREQUENT = 64, 400_000
-#: Groups that a set is joined in before pairs are counted, and sets of a block.
-BLOCKS, BLOCK_SETS = 3, 400
-#: Blocks of a set that are looked up to leave out pairs that a block has tested.
-TESTED = 4
+#: Bytes of text of a bucket of prefix n-grams, and that one task pre-aggregates; buckets at least, for parallel work.
+BUCKET_BYTES, FLUSH, LEAST_BUCKETS = 64 << 20, 192 << 20, 24
+#: Share of a set's size that the prefixes in hash order are longer than one common n-gram needs; as many more must be shared.
+MORE = 0.15
+#: Sets and n-grams of a block.
+BLOCK_SETS, BLOCK_CELLS = 256, 4_000_000
 _TABLE = np.random.default_rng(31).integers(1, 2**63, 256, dtype=np.uint64)
 _PLACE = np.random.default_rng(32).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -113,406 +114,377 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarra
 
 
 class SetTrie:
-    """Ordered sets in a path-compressed trie; the sets below a node are neighbours in the sorted order."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        tokens = np.unique(np.concatenate(sets))
-        local = [np.searchsorted(tokens, s) for s in sets]
-        self.order = sorted(range(len(sets)), key=lambda i: local[i].astype(">i4").tobytes())
-        self.sets = [local[i] for i in self.order]
-        self.sizes = np.array([len(s) for s in self.sets])
-        self.seen = np.zeros(len(tokens), bool)
-        self.nodes: list[tuple[int, int, int, int, np.ndarray, int, list[int]]] = []
-        self.root = self._build(0, len(sets), 0)
-
-    def _build(self, lo: int, hi: int, depth: int) -> int:
-        """Node over sets lo to hi, which agree in their first ``depth`` elements: low, high, depth, end of path, path, longest set, children."""
-        stack = [(lo, hi, depth, -1)]
-        root = -1
+    """Ordered sets in a path-compressed trie; the sets below a node are neighbours in the sorted order.
+
+    ``sets``: ascending places of each set's n-grams in the global order, without those that no other set holds;
+    ``sizes``: sizes with these.
+    """
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">i4").tobytes())
+        self.sets = [sets[i] for i in self.order]
+        self.sizes = np.asarray(sizes)[self.order]
+        self.lengths = np.array([len(s) for s in self.sets])
+        self.nodes: list[tuple[int, int, int, np.ndarray, int, int, int, list[int]]] = []
+        self.root = self._build()
+
+    def _build(self) -> int:
+        """Nodes: first set, last set, end of the path, path, smallest and largest size, longest set, children."""
+        stack = [(0, len(self.sets), 0, -1)]
         while stack:
             lo, hi, depth, parent = stack.pop()
             a, b = self.sets[lo], self.sets[hi - 1]
             n = min(len(a), len(b))
             differ = np.flatnonzero(a[depth:n] != b[depth:n])
             end = depth + int(differ[0]) if len(differ) else n
-            if hi - lo > 1 and not len(differ):  # a set that ends here comes first among its likes
-                end = min(end, int(self.sizes[lo:hi].min()))
             me = len(self.nodes)
-            self.nodes.append((lo, hi, depth, end, a[depth:end], int(self.sizes[lo:hi].max()), []))
+            self.nodes.append((lo, hi, end, a[depth:end], int(self.sizes[lo:hi].min()), int(self.sizes[lo:hi].max()), int(self.lengths[lo:hi].max()), []))
             if parent >= 0:
-                self.nodes[parent][6].append(me)
-            else:
-                root = me
+                self.nodes[parent][7].append(me)
             if hi - lo > 1:
                 i = lo
-                while i < hi and self.sizes[i] == end:
+                while i < hi and self.lengths[i] == end:  # sets that end at this node come first
+                    self.nodes.append((i, i + 1, end, a[:0], int(self.sizes[i]), int(self.sizes[i]), end, []))
+                    self.nodes[me][7].append(len(self.nodes) - 1)
                     i += 1
-                if i > lo:
-                    for k in range(lo, i):  # sets that end at this node
-                        self.nodes.append((k, k + 1, end, end, a[:0], end, []))
-                        self.nodes[me][6].append(len(self.nodes) - 1)
-                while i < hi:
-                    t, j = self.sets[i][end], i + 1
-                    step, right = 1, hi
-                    while j < right:  # the last set with the same next element
-                        m = min(right - 1, j + step - 1)
-                        if self.sets[m][end] == t:
-                            j, step = m + 1, step * 2
-                        elif step == 1:
-                            break
-                        else:
-                            right, step = m, 1
-                    stack.append((i, j, end, me))
-                    i = j
-        return root
-
-    def links(self, i: int, num: int, den: int, component: np.ndarray) -> list[int]:
-        """Sets, in sorted order's numbers, that set ``i`` links with and that are in other components."""
-        x = self.sets[i]
-        n = len(x)
-        self.seen[x] = True
-        found: list[int] = []
-        stack = [(self.root, 0, 0)]  # node, overlap so far, elements of x not yet passed
+                heads = np.array([self.sets[k][end] for k in range(i, hi)])
+                cuts = [i, *(np.flatnonzero(np.diff(heads)) + i + 1).tolist(), hi] if i < hi else []
+                stack += [(p, q, end, me) for p, q in zip(cuts, cuts[1:], strict=False)]
+        return 0
+
+    def links(self, x: np.ndarray, n: int, num: int, den: int, seen: np.ndarray, skip: np.ndarray) -> list[int]:
+        """Sets, by their places in the sorted order, that the set ``x`` of size ``n`` links with, but those in ``skip``.
+
+        ``seen`` is a scratch array of falses over all n-grams.
+        """
+        seen[x] = True
+        least, found = -(-num * n // den), []
+        stack = [(self.root, 0, 0)]  # node, overlap so far, elements of x not after the path
         while stack:
             k, overlap, passed = stack.pop()
-            lo, hi, depth, end, path, longest, children = self.nodes[k]
-            if (component[lo:hi] == component[i]).all():
-                continue
-            if longest * den < num * n:
+            lo, hi, end, path, small, large, longest, children = self.nodes[k]
+            if large < least or small * num > n * den or skip[lo:hi].all():
                 continue
             if len(path):
-                overlap += int(np.count_nonzero(self.seen[path]))
+                overlap += int(np.count_nonzero(seen[path]))
                 passed = int(np.searchsorted(x, path[-1], "right"))
-            # a set below can have at most this overlap, and needs num/(num+den) of the sum of sizes
-            rest = min(longest - end, n - passed)
-            shortest = max(end, -(-num * n // den))
-            if (overlap + rest) * (num + den) < num * (n + shortest):
+            # a set below shares at most this much more, and needs num/(num+den) of the sum of both sizes
+            if (overlap + min(longest - end, len(x) - passed)) * (num + den) < num * (n + max(small, least)):
                 continue
             if children:
                 stack += [(c, overlap, passed) for c in children]
-            elif hi - lo == 1 and component[lo] != component[i] and den * overlap >= num * (n + int(self.sizes[lo]) - overlap):
+            elif hi - lo == 1 and overlap * (num + den) >= num * (n + int(self.sizes[lo])):
                 found.append(lo)
-        self.seen[x] = False
+        seen[x] = False
         return found
 
 
-def block_links(sets: list[np.ndarray], num: int, den: int, around: int | None = None) -> list[tuple[int, int]]:
-    """Links that join a block's sets into its components: pairs of places, each with the first of its component.
+def local_order(grams: list[np.ndarray], held: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """Each set's n-grams as ascending places in the global order (fewest holders first, then by hash) among those of the block."""
+    every, first, back = np.unique(np.concatenate(grams), return_index=True, return_inverse=True)
+    order = np.lexsort((every, np.concatenate(held)[first]))
+    place = np.empty(len(every), np.int64)
+    place[order] = np.arange(len(every))
+    return [np.sort(p) for p in np.split(place[back], np.cumsum([len(g) for g in grams])[:-1])], len(every)
 
-    ``around``: compare only this set with the others.
-    """
-    trie = SetTrie(sets)
-    component = np.arange(len(sets))
-    for i in range(len(sets)) if around is None else [trie.order.index(around)]:
-        for j in trie.links(i, num, den, component):
+
+def block_links(sets: list[np.ndarray], sizes: np.ndarray, width: int, num: int, den: int) -> np.ndarray:
+    """For each set of a block the place of a set that stands for its component."""
+    trie = SetTrie(sets, sizes)
+    seen = np.zeros(width, bool)
+    component = np.arange(len(sets))  # by place in the trie
+    for i in range(len(sets)):
+        for j in trie.links(trie.sets[i], int(trie.sizes[i]), num, den, seen, component == component[i]):
             if component[j] != component[i]:
                 component[component == component[j]] = component[i]
-    first: dict[int, int] = {}
-    out = []
-    for i, c in enumerate(component.tolist()):
-        if c in first:
-            out.append((trie.order[i], trie.order[first[c]]))
-        else:
-            first[c] = i
+    order = np.array(trie.order)
+    out = np.empty(len(sets), np.int64)
+    out[order] = order[component]
     return out
 
 
-def _frequent(rows: DataFrame, k: int) -> np.ndarray:
-    """Frequent n-grams, the rarest first: those that a pack sees in several sets, summed over all packs; at most ``MOST_FREQUENT``."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, offsets in _gathered(batches, "text"):
-            h, sizes, ids = ngram_sets(data, offsets, k)
-            _, keep = np.unique(ids, return_index=True)
-            one = np.zeros(len(ids), bool)
-            one[keep] = True
-            grams, n = np.unique(h[np.repeat(one, sizes)], return_counts=True)
-            many = n >= 4
-            yield pa.RecordBatch.from_arrays([pa.array(grams[many].view(np.int64)), pa.array(n[many])], names=["gram", "n"])
-
-    found = rows.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).toArrow()
-    return found.column("gram").to_numpy().view(np.uint64)[::-1]
+def pair_links(queries: list[np.ndarray], n: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, of: np.ndarray, width: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (query, set) between different components, enough of them to join these; ``labels`` and ``of`` are what is known of the components."""
+    trie = SetTrie(sets, sizes)
+    seen = np.zeros(width, bool)
+    names, back = np.unique(np.concatenate([labels, np.asarray(of)[trie.order]]), return_inverse=True)
+    q, s = back[: len(queries)].copy(), back[len(queries) :].copy()
+    out = []
+    for i, x in enumerate(queries):
+        for j in trie.links(x, int(n[i]), num, den, seen, s == q[i]):
+            if s[j] != q[i]:
+                out.append((i, trie.order[j]))
+                old = s[j]
+                s[s == old] = q[i]
+                q[q == old] = q[i]
+    return out
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Texts of several batches in packs of about ``PACK`` bytes."""
-    held, size = [], 0
+def _gathered(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with at most ``PACK`` bytes of text (or one longer row)."""
     for batch in batches:
-        for _, data, offsets in packs(batch, text, PACK):
-            held.append((data, offsets))
-            size += len(data)
-            if size >= PACK:
-                yield _joined(held)
-                held, size = [], 0
-    if held:
-        yield _joined(held)
+        for part, data, offsets in packs(batch, text, PACK):
+            yield batch.slice(part.start, part.stop - part.start), data, offsets
 
 
-def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if len(held) == 1:
-        return held[0]
-    base = np.cumsum([0] + [len(d) for d, _ in held])
-    return np.concatenate([d for d, _ in held]), np.concatenate([[0], *[o[1:] + b for (_, o), b in zip(held, base, strict=False)]])
+def _needed(n: str, num: int, den: int) -> Column:
+    """The least overlap of a set of size ``n`` with any set that it links with."""
+    return F.expr(f"({n} * {num} + {den - 1}) DIV {den}")
 
 
 def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
-    """``key``, ``n_shingles``, ``component_id`` and ``row`` (a hash of id and text) for every row; sets link when intersection / union is ``threshold`` or more."""
+    """``key``, ``n_shingles``, ``component_id`` and ``row`` (a hash of the text) for every row; sets link when intersection / union is ``threshold`` or more."""
     spark = docs.sparkSession
     small_batches(spark)
     num, den = threshold
     t = F.coalesce(F.col(text), F.lit(""))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    parts, buckets = max(1, -(-total // PART_BYTES)), max(1, -(-total // BUCKET_BYTES))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), t).alias("rid"), t.cast("binary").alias("text"))
-    frequent = spark.sparkContext.broadcast(_frequent(rows, shingle))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of two kinds: the documents' set ids and sizes, and prefix n-grams by bucket."""
-        rank = frequent.value
-        by_gram = np.argsort(rank)
-        grams = rank[by_gram]
-        held: list[tuple] = []
-
-        def sent(ids_: np.ndarray, rids: np.ndarray, nulls: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-            h, sizes, sets = ngram_sets(data, offsets, shingle)
-            _, keep = np.unique(sets, return_index=True)
-            one = np.zeros(len(sets), bool)
-            one[keep] = True
-            one &= sizes > 0
-            row = np.repeat(np.arange(len(sets)), sizes)
-            h, row = h[one[row]], row[one[row]]
-            late = np.zeros(len(h), np.int64)
-            if len(grams):
-                at = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
-                hot = grams[at] == h
-                late[hot] = by_gram[at[hot]] + 1
-            order = np.lexsort((h, late, row))
-            h, row = h[order], row[order]
-            place = np.arange(len(h)) - np.searchsorted(row, row)
-            n = sizes[row]
-            pre = place < n - (-(-num * n // den)) + 1
-            h, row = h[pre], row[pre]
-            out = [(-1, _blob(ids_, rids, nulls, sets, sizes.astype("<i4")))]
-            for b, k in _groups(((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)):
-                k = np.sort(k)
-                who, many = np.unique(row[k], return_counts=True)
-                head, body = _blob(sets[who], sizes[who].astype("<i4"), many.astype("<i4")), _blob(h[k].astype("<u4"))
-                out.append((b, len(head).to_bytes(4, "little") + head + body))
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "blob"])
-
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            data, offsets = _joined([x[3] for x in held])
-            return sent(*(np.concatenate([x[c] for x in held]) for c in range(3)), data, offsets)
-
-        for batch in batches:
-            for part, data, offsets in packs(batch, "text", PACK):
-                piece = batch.slice(part.start, part.stop - part.start)
-                ids_ = piece.column("doc_id")
-                held.append((ids_.fill_null(0).to_numpy(), piece.column("rid").to_numpy(), np.asarray(ids_.is_null().to_numpy(zero_copy_only=False), "u1"), (data, offsets)))
-                size += len(data)
-                if size >= PACK or sum(len(x[0]) for x in held) > 50_000:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    entries = written(rows.mapInArrow(prefixes, "bucket int, blob binary"), "ngram-prefixes")
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in batch.column("blob").to_pylist():
-                ids_, rids, nulls, sets, sizes = _unblob(b, "<i8", "<i8", "u1", "<i8", "<i4")
-                yield pa.RecordBatch.from_arrays([pa.array(ids_, mask=nulls.astype(bool)), pa.array(rids), pa.array(sets), pa.array(sizes.astype(np.int64))], names=["doc_id", "rid", "set_id", "n"])
-
-    slim = written(entries.where("bucket = -1").mapInArrow(unpack, "doc_id bigint, rid bigint, set_id bigint, n bigint"), "ngram-slim")
-
-    def gather(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One bucket of prefix n-grams: distinct groups of sets, with the number of n-grams that give them; each set's first groups."""
-        tags, sets, sizes = [], [], []
-        bucket = 0
-        for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):  # noqa: B007
-                at = 4 + int.from_bytes(blob[:4], "little")
-                s, n, many = _unblob(blob[4:at], "<i8", "<i4", "<i4")
-                (tag,) = _unblob(blob[at:], "<u4")
-                tags.append(tag)
-                sets.append(np.repeat(s, many))
-                sizes.append(np.repeat(n, many))
-        tag, set_, size = np.concatenate(tags), np.concatenate(sets), np.concatenate(sizes).astype(np.int64)
-        order = np.lexsort((set_, size, tag))
-        tag, set_, size = tag[order], set_[order], size[order]
-        new = np.ones(len(tag), bool)
-        new[1:] = (tag[1:] != tag[:-1]) | (set_[1:] != set_[:-1]) | (size[1:] != size[:-1])
-        tag, set_, size = tag[new], set_[new], size[new]
-        # a group ends where the next set is too long for the one before
-        cut = np.ones(len(tag), bool)
-        cut[1:] = (tag[1:] != tag[:-1]) | (size[:-1] * den < num * size[1:])
-        start = np.flatnonzero(cut)
-        m = np.diff(np.append(start, len(tag)))
-        keep = np.repeat(m > 1, m)
-        tag, set_, size, m = tag[keep], set_[keep], size[keep], m[m > 1]
-        out = []
-        if len(m):
-            start = np.concatenate([[0], np.cumsum(m)[:-1]])
-            name = _mixed(np.add.reduceat(_mixed(set_.view(np.uint64) ^ np.uint64(0xE7037ED1A0B428DB)), start) + m.astype(np.uint64))
-            _, first, weight = np.unique(name, return_index=True, return_counts=True)
-            member = np.repeat(np.arange(len(m)), m)
-            chosen = np.zeros(len(m), bool)
-            chosen[first] = True
-            w = np.zeros(len(m), np.int64)
-            w[first] = weight
-            k = chosen[member]
-            for i in range(0, len(first), 20_000):  # rows of a bounded size
-                g = np.sort(first)[i : i + 20_000]
-                inside = np.flatnonzero(k & (member >= g[0]) & (member <= g[-1]))
-                out.append((bucket, None, None, None, _blob(name[g].view(np.int64), w[g].astype("<i4"), m[g].astype("<i4")), _blob(set_[inside], size[inside].astype("<i4"))))
-            # each set's group with the lowest tag, in as many blocks as its size needs; the first two sets of a group go to all
-            by_set = np.lexsort((tag, set_))
-            low = by_set[np.concatenate([[True], np.diff(set_[by_set]) != 0])]
-            g = member[low]
-            blocks = -(-m // BLOCK_SETS)
-            salt = (_mixed(set_[low].view(np.uint64)) % blocks[g].astype(np.uint64)).astype(np.int64)
-            block = _mixed(name[g] + salt.astype(np.uint64) * _PLACE[5]).view(np.int64)
-            out += [(bucket, int(s), int(o), int(b), None, None) for s, o, b in zip(set_[low], tag[low], block, strict=True)]
-            for g in np.flatnonzero(chosen & (blocks > 1)):
-                for s in set_[start[g] : start[g] + 2]:
-                    out += [(bucket, int(s), -1, int(_mixed(name[g : g + 1] + np.uint64(j) * _PLACE[5]).view(np.int64)[0]), None, None) for j in range(int(blocks[g]))]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], names=["bucket", "set_id", "tag", "block", "head", "body"])
-
-    groups = written(entries.where("bucket >= 0").groupBy("bucket").applyInArrow(gather, "bucket int, set_id bigint, tag bigint, block bigint, head binary, body binary"), "ngram-groups")
+    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(t).alias("row"), t.cast("binary").alias("text"))
+
+    entries = written(rows.mapInArrow(_prefix_writer(shingle, num, den, buckets), "bucket int, blob binary"), "ngram-prefixes")
+    slim = written(entries.where("bucket = -1").mapInArrow(_unpacked_rows, "doc_id bigint, row bigint, set_id bigint, n bigint"), "ngram-rows")
+    shared = entries.where("bucket <> -1").groupBy("bucket").applyInArrow(_shared_counts, "set_id bigint, n bigint, shared bigint")
+    enough = F.least(F.floor(_needed("n", num, den) * F.lit(MORE)) + 1, _needed("n", num, den))
+    live = shared.groupBy("set_id", "n").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= enough).select("set_id")
+    every_set = slim.where("n > 0").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("holder"))
+    copies = slim.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
+    wanted = live.join(every_set, "set_id").select("set_id", "holder.doc_id", "holder.row")
+    wanted = written(wanted.join(copies, wanted["doc_id"].eqNullSafe(copies["doc_id"]) & (wanted["row"] == copies["row"])).select(wanted["set_id"], wanted["doc_id"].alias("_d"), wanted["row"].alias("_r"), "copies"), "ngram-wanted")
     discard(entries)
-    clean_memory(spark)
-    asked = groups.where("set_id IS NOT NULL").groupBy("set_id").agg(F.array_sort(F.collect_set(F.struct("tag", "block"))).alias("l"))
-    few = F.filter("l", lambda x, i: (x["tag"] < 0) | (i < BLOCKS + F.size(F.filter("l", lambda y: y["tag"] < 0))))
-    asked = written(asked.select("set_id", F.array_distinct(F.transform(few, lambda x: x["block"])).alias("blocks")), "ngram-asked")
-    holders = slim.where("n > 0").groupBy("set_id").agg(F.min("rid").alias("rid"))
-    wanted = holders.join(asked.select("set_id"), "set_id").select("set_id", "rid", (F.shiftrightunsigned("rid", 1) % parts).cast("int").alias("part"))
-
-    def fetch(_: tuple, texts: pa.Table, want: pa.Table) -> pa.Table:
-        """Texts of the sets that are joined, from one part of the documents."""
-        where = dict(zip(texts.column("rid").to_pylist(), range(len(texts)), strict=True)) if len(want) else {}
-        column = texts.column("text")
-        body = [zstandard.compress(column[where[r]].as_py(), 3) for r in want.column("rid").to_pylist()]
-        return pa.table([want.column("set_id").cast(pa.int64()), pa.array(body, pa.binary())], names=["set_id", "body"])
-
-    text_parts = rows.select((F.shiftrightunsigned("rid", 1) % parts).cast("int").alias("part"), "rid", "text")
-    texts = written(text_parts.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(fetch, "set_id bigint, body binary"), "ngram-texts")
-    clean_memory(spark)
 
-    def solve(star: bool):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Blocks of texts that come one after another: the links of each."""
-            ids_, bodies, current, centre = [], [], None, None
-            links: list[tuple[int, int]] = []
-
-            def done() -> None:
-                if len(ids_) > 1:
-                    offsets = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
-                    h, sizes, _ = ngram_sets(np.frombuffer(b"".join(bodies), np.uint8), offsets, shingle)
-                    sets = np.split(h, np.cumsum(sizes)[:-1])
-                    around = ids_.index(centre) if star else None
-                    links.extend((ids_[a], ids_[b]) for a, b in block_links(sets, num, den, around))
-
-            for batch in batches:
-                for block, s, body in zip(*(batch.column(c).to_pylist() for c in ("block", "set_id", "body")), strict=True):
-                    if block != current:
-                        done()
-                        ids_, bodies, current = [], [], block
-                        centre = block
-                    ids_.append(s)
-                    bodies.append(zstandard.decompress(body))
-                if len(links) > 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["u", "v"])
-                    links.clear()
-            done()
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["u", "v"])
-
-        return run
-
-    in_blocks = asked.select("set_id", F.explode("blocks").alias("block")).join(texts, "set_id")
-    links = written(in_blocks.repartition("block").sortWithinPartitions("block", "set_id").mapInArrow(solve(False), "u bigint, v bigint"), "ngram-links")
-    clean_memory(spark)
-    labels = components(links)
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for head, body in zip(batch.column("head").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                name, weight, m = _unblob(head, "<i8", "<i4", "<i4")
-                s, n = _unblob(body, "<i8", "<i4")
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, m)), pa.array(np.repeat(weight, m)), pa.array(s), pa.array(n)], names=["name", "weight", "set_id", "n"])
-
-    every = groups.where("head IS NOT NULL").select("head", "body").mapInArrow(members, "name bigint, weight int, set_id bigint, n int")
-    labelled = every.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    mixed = labelled.groupBy("name").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("name")
-    # pairs of a group in different components; sets of one component are not paired
-    tested = asked.select("set_id", *[F.get("blocks", F.lit(j)).alias(f"b{j}") for j in range(TESTED)])
-    m = labelled.join(mixed, "name").join(tested, "set_id", "left").select("name", "weight", "set_id", "n", "label", *[F.coalesce(f"b{j}", F.lit(0)).alias(f"b{j}") for j in range(TESTED)])
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups that come one after another: their pairs of sets in different components, with fitting sizes, that no block has tested."""
-        rest: list[np.ndarray] | None = None
-
-        def pairs(name: np.ndarray, weight: np.ndarray, s: np.ndarray, n: np.ndarray, label: np.ndarray, *blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
-            ends = np.searchsorted(name, name, "right")
-            for lo in range(0, len(name), 2000):
-                i = np.arange(lo, min(len(name), lo + 2000))
-                many = ends[i] - i - 1
-                left = np.repeat(i, many)
-                right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
-                ok = (label[left] != label[right]) & (n[left].astype(np.int64) * den >= num * n[right].astype(np.int64))
-                left, right = left[ok], right[ok]
-                new = np.ones(len(left), bool)
-                for x in blocks:
-                    for y in blocks:
-                        new &= (x[left] != y[right]) | (x[left] == 0)
-                left, right = left[new], right[new]
-                a, b = np.minimum(s[left], s[right]), np.maximum(s[left], s[right])
-                na, nb = np.where(s[left] < s[right], n[left], n[right]), np.where(s[left] < s[right], n[right], n[left])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), pa.array(weight[left].astype(np.int64))], names=["a", "b", "na", "nb", "c"])
-
-        for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("name", "weight", "set_id", "n", "label", *(f"b{j}" for j in range(TESTED)))]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            at = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-            rest = [c[at:] for c in cols]
-            if at:
-                yield from pairs(*(c[:at] for c in cols))
-        if rest is not None and len(rest[0]):
-            yield from pairs(*rest)
-
-    pairs = m.repartition("name").sortWithinPartitions("name", "n", "set_id").mapInArrow(across, "a bigint, b bigint, na int, nb int, c bigint").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-    left = lambda n: F.ceil(F.col(n) * num / den).cast("long") - 1  # noqa: E731  elements of a set beyond its prefix
-    need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-9)
+    # the sets that may link, each with its n-grams
+    texts = rows.join(fitting(wanted), rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["row"] == F.col("_r")))
+    texts = texts.where("copies = 1").unionByName(texts.where("copies > 1").dropDuplicates(["set_id"]))
+
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, data, offsets in _gathered(batches, "text"):
+            h, sizes, _ = ngram_sets(data, offsets, shingle)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("set_id"), pa.array(sizes.astype(np.int64)), lists], names=["doc_id", "set_id", "n", "grams"])
+
+    sets = written(texts.select("doc_id", "set_id", "text").mapInArrow(grams_of, "doc_id bigint, set_id bigint, n bigint, grams array<bigint>"), "ngram-sets")
+    node = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "set_id").alias("node")  # in the order of the ids
+    grams = sets.select(node, "n", F.explode("grams").alias("gram"))
+    held = grams.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("held")).where("held > 1")
+    ordered = grams.join(held, "gram").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("held", "gram"))).alias("g")).where(F.size("g") >= _needed("n", num, den))
+    ordered = written(ordered.select("node", "n", F.size("g").cast("long").alias("size"), F.col("g.gram").alias("grams"), F.col("g.held").alias("held")), "ngram-ordered")
+    for done in (sets, wanted):
+        discard(done)
     clean_memory(spark)
-    # two n-grams of a set may share a tag, so counts are allowed to be short by two
-    open_pairs = written(pairs.where(F.col("c") + 2 + F.greatest(left("na"), left("nb")) >= need).select("a", "b"), "ngram-pairs")
-    star = open_pairs.select(F.col("a").alias("block"), F.explode(F.array("a", "b")).alias("set_id")).distinct().join(texts, "set_id")
-    more = star.repartition("block").sortWithinPartitions("block", "set_id").mapInArrow(solve(True), "u bigint, v bigint")
-    more = written(more, "ngram-more")
-    for done in (groups, texts, asked):
+
+    # prefixes: the smaller of two sets that link shares one of its first n-grams up to `inner`, the larger one up to `outer`
+    own = F.col("n") - F.col("size")
+    outer, inner = F.col("n") - _needed("n", num, den) + 1 - own, F.col("n") - _needed("n", 2 * num, num + den) + 1 - own
+    places = ordered.select("node", "n", "size", inner.alias("inner"), F.posexplode(F.slice("grams", F.lit(1), outer.cast("int"))).alias("place", "gram"))
+    groups = places.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("m"), F.sum("size").alias("cells"), F.bool_or(F.col("place") < F.col("inner")).alias("inner"),
+        F.min(F.struct((F.col("n") - F.col("size")).alias("own"), "node")).alias("hub"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"),
+    ).where("m > 1 AND inner")
+    groups = groups.groupBy("m", "x", "y").agg(F.min(F.struct("gram", "m", "cells", F.col("hub.node").alias("hub"))).alias("g")).select("g.*")  # groups of the same sets count once
+    members = written(places.select("node", "gram", "size").join(groups, "gram"), "ngram-members")
+
+    # first every set in one group, the largest; a group's blocks all hold its hub
+    blocks = lambda m, cells: F.greatest(F.ceil(F.col(m) / BLOCK_SETS), F.ceil(F.col(cells) / BLOCK_CELLS)).cast("int")
+    first = members.groupBy("node").agg(F.max(F.struct("m", "gram", "cells", "hub")).alias("g")).select("node", "g.*").withColumn("blocks", blocks("m", "cells"))
+    hubs = groups.withColumn("blocks", blocks("m", "cells")).where("blocks > 1").select(F.col("hub").alias("node"), "gram", "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = first.select("node", "gram", "hub", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")).unionByName(hubs).distinct()
+    in_blocks = dealt.join(ordered, "node").repartition("gram", "block").sortWithinPartitions("gram", "block")
+    in_blocks = in_blocks.select("gram", "block", "node", (F.col("hub") == F.col("node")).alias("hub"), "n", "grams", "held")
+    node_type = "struct<no:boolean,doc_id:bigint,set_id:bigint>"
+    known = written(in_blocks.mapInArrow(_solve_blocks(num, den), f"node {node_type}, label {node_type}"), "ngram-known")
+    labels = known.groupBy("node").agg(F.min("label").alias("label"))  # a hub has one in each block
+
+    # then the groups whose sets are in different components: pairs of blocks, but for two blocks of the main component
+    labelled = members.join(labels, "node", "left").select("node", "gram", "size", F.coalesce("label", "node").alias("label"))
+    mixed = labelled.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("cells")).groupBy("gram").agg(
+        F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "cells", "label")).alias("main"), F.sum("c").alias("m"), F.sum("cells").alias("cells"),
+    ).where("labels > 1").select("gram", F.col("main.label").alias("main"), "main.c", F.col("main.cells").alias("main_cells"), (F.col("m") - F.col("main.c")).alias("rest"), (F.col("cells") - F.col("main.cells")).alias("rest_cells"))
+    mixed = mixed.select("gram", "main", blocks("c", "main_cells").alias("mains"), blocks("rest", "rest_cells").alias("rests"))
+    placed = labelled.join(mixed, "gram").withColumn("in_main", F.col("label") == F.col("main"))
+    placed = placed.withColumn("b", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    to = lambda rest, i, j, query: F.struct(F.lit(rest).alias("rest"), i.cast("int").alias("i"), j.cast("int").alias("j"), query.alias("query"))
+    b, others = F.col("b"), F.sequence(F.lit(0), F.col("rests") - 1)
+    task = F.when(F.col("in_main"), F.transform(others, lambda i: to(False, i, b, F.lit(False)))).otherwise(F.concat(
+        F.transform(others, lambda j: to(True, F.least(b, j), F.greatest(b, j), b <= j)), F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: to(False, b, j, F.lit(True)))))
+    tasks = placed.select("node", "gram", "label", F.explode(task).alias("t")).select("node", "gram", "label", "t.*")
+    pairs = tasks.join(ordered, "node").repartition("gram", "rest", "i", "j").sortWithinPartitions("gram", "rest", "i", "j")
+    pairs = pairs.select("gram", "rest", "i", "j", "query", "node", "label", "n", "grams", "held")
+    more = written(pairs.mapInArrow(_solve_pairs(num, den), f"u {node_type}, v {node_type}"), "ngram-more")
+    links = known.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more)
+    label_of = components(links)
+    for done in (ordered, members, known, more):
         discard(done)
     clean_memory(spark)
-    labels = components(links.unionByName(more))
-    known = slim.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "set_id")))
-    known = written(known.select("doc_id", "rid", "n", "label"), "ngram-known")
-    least = known.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = known.join(least, "label", "left")
-    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("rid").alias("row"))
+    linked = label_of.select(F.col("node.set_id").alias("set_id"), F.col("label.doc_id").alias("linked"), F.lit(True).alias("_l"))
+    own_least = every_set.select("set_id", F.col("holder.doc_id").alias("least")).join(linked, "set_id", "left").select("set_id", F.when(F.col("_l"), F.col("linked")).otherwise(F.col("least")).alias("component"))
+    out = slim.join(own_least, "set_id", "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
+    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "row")
+
+
+def _prefix_writer(shingle: int, num: int, den: int, buckets: int):  # noqa: ANN202
+    """Rows of two kinds: the documents' set ids and sizes (bucket -1), and prefix n-grams in hash order by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def row(bucket: int, blob: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """All that is held: an n-gram of several sets is counted for these here and sent once, however many hold it."""
+            base = np.cumsum([0] + [len(x[0]) for x in held])
+            sets, n = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            gram, of = np.concatenate([x[2] for x in held]), np.concatenate([x[3] + b for x, b in zip(held, base, strict=False)])
+            held.clear()
+            if not len(sets):
+                return
+            _, first, back = np.unique(sets, return_index=True, return_inverse=True)  # a set that several packs hold counts once
+            keep = first[back][of] == of
+            gram, of = gram[keep], of[keep]
+            order = np.lexsort((of, gram))
+            gram, of = gram[order], of[order]
+            new = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, bool)
+            start = np.flatnonzero(new)
+            many = np.diff(np.append(start, len(gram))) > 1
+            here = np.bincount(of[np.repeat(many, np.diff(np.append(start, len(gram))))], minlength=len(sets))
+            some = np.flatnonzero(here)
+            yield row(-2, _blob(sets[some], n[some].astype("<i4"), here[some].astype("<i4")))
+            gram, of = gram[start], of[start]
+            for b, k in _groups(((gram >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)):
+                yield row(b, _blob(gram[k].astype("<u4"), sets[of[k]], n[of[k]].astype("<i4"), many[k].astype("u1")))
+
+        for piece, data, offsets in _gathered(batches, "text"):
+            h, sizes, sets = ngram_sets(data, offsets, shingle)
+            ids, none = piece.column("doc_id"), np.asarray(piece.column("doc_id").is_null().to_numpy(zero_copy_only=False), "u1")
+            yield row(-1, _blob(ids.fill_null(0).to_numpy(), piece.column("row").to_numpy(), none, sets, sizes.astype("<i4")))
+            of = np.repeat(np.arange(len(sets)), sizes)
+            place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            least = -(-num * sizes // den)
+            prefix = place < (sizes - least + np.floor(sizes * MORE).astype(np.int64) + 1)[of]
+            held.append((sets, sizes, h[prefix], of[prefix]))
+            size += len(data)
+            if size >= FLUSH:
+                yield from flush()
+                size = 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _unpacked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in batch.column("blob").to_pylist():
+            ids, row, none, sets, sizes = _unblob(b, "<i8", "<i8", "u1", "<i8", "<i4")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=none.astype(bool)), pa.array(row), pa.array(sets), pa.array(sizes.astype(np.int64))], names=["doc_id", "row", "set_id", "n"])
+
+
+def _shared_counts(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each set the number of a bucket's prefix n-grams that other sets hold too; bucket -2 has been counted before."""
+    names = ["set_id", "n", "shared"]
+    parts = []
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            if bucket == -2:
+                s, n, c = _unblob(blob, "<i8", "<i4", "<i4")
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n.astype(np.int64)), pa.array(c.astype(np.int64))], names=names)
+            else:
+                parts.append(_unblob(blob, "<u4", "<i8", "<i4", "u1"))
+    if not parts:
+        return
+    tag, s, n, many = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((s, tag))
+    tag, s, n, many = tag[order], s[order], n[order], many[order]
+    start = np.flatnonzero(np.concatenate([[True], tag[1:] != tag[:-1]]))
+    size = np.diff(np.append(start, len(tag)))
+    shared = np.maximum.reduceat(many, start).astype(bool) | (s[start] != s[np.append(start[1:], len(tag)) - 1])
+    mine = np.repeat(shared, size) & ~many.astype(bool)
+    mine[1:] &= (tag[1:] != tag[:-1]) | (s[1:] != s[:-1]) | many[:-1].astype(bool)
+    ids, first, count = np.unique(s[mine], return_index=True, return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n[mine][first].astype(np.int64)), pa.array(count.astype(np.int64))], names=names)
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, list]]:
+    """Rows that agree in the first ``keys`` columns and come one after another, as columns; n-gram lists as arrays."""
+    names: list[str] = []
+    held: dict[str, list] = {}
+    current = None
+    for batch in batches:
+        names = batch.schema.names
+        columns = {c: [np.asarray(x.values) for x in batch.column(c)] if c in ("grams", "held") else batch.column(c).to_pylist() for c in names}
+        for i, k in enumerate(zip(*(columns[c] for c in names[:keys]), strict=True)):
+            if k != current:
+                if held:
+                    yield held
+                current, held = k, {c: [] for c in names}
+            for c in names:
+                held[c].append(columns[c][i])
+    if held:
+        yield held
+
+
+def _node_pairs(pairs: list[tuple[dict, dict]], names: tuple[str, str]) -> pa.RecordBatch:
+    kind = pa.struct([("no", pa.bool_()), ("doc_id", pa.int64()), ("set_id", pa.int64())])
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], names=list(names))
+
+
+def _solve_blocks(num: int, den: int):  # noqa: ANN202
+    """Blocks of sets: each set with a set that stands for its component, the hub where it is in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[dict, dict]] = []
+        for block in _runs_of(batches, 2):
+            sets, width = local_order(block["grams"], block["held"])
+            of = block_links(sets, np.array(block["n"]), width, num, den)
+            for i, hub in enumerate(block["hub"]):
+                if hub:
+                    of[of == of[i]] = i
+            out += [(block["node"][i], block["node"][k]) for i, k in enumerate(of.tolist())]
+            if len(out) > 10_000:
+                yield _node_pairs(out, ("node", "label"))
+                out = []
+        yield _node_pairs(out, ("node", "label"))
+
+    return run
+
+
+def _solve_pairs(num: int, den: int):  # noqa: ANN202
+    """Pairs of blocks: links between sets of different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[dict, dict]] = []
+        for block in _runs_of(batches, 4):
+            node, n = block["node"], np.array(block["n"])
+            label = np.unique(np.array([x["set_id"] for x in block["label"]]), return_inverse=True)[1]
+            query = np.array(block["query"])
+            q = np.flatnonzero(query)
+            s = q if block["rest"][0] and block["i"][0] == block["j"][0] else np.flatnonzero(~query)
+            if not len(q) or not len(s):
+                continue
+            sets, width = local_order(block["grams"], block["held"])
+            found = pair_links([sets[i] for i in q], n[q], label[q], [sets[i] for i in s], n[s], label[s], width, num, den)
+            out += [(node[q[a]], node[s[b]]) for a, b in found]
+            if len(out) > 10_000:
+                yield _node_pairs(out, ("u", "v"))
+                out = []
+        yield _node_pairs(out, ("u", "v"))
+
+    return run
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group the one with the smallest id; all rows without n-grams.
 
-    ``groups``: what :func:`near_duplicate_groups` gave for ``docs``. Only rows that are equal in id and text are
-    made distinct by themselves.
+    ``groups``: what :func:`near_duplicate_groups` gave for ``docs``. Rows that are equal in id and text count once.
     """
-    rows = groups.groupBy("row").agg(F.min("n_shingles").alias("n"), F.min("component_id").alias("c"), F.min(key).alias("k"), F.count(F.lit(1)).alias("_copies"))
-    least = rows.where("n > 0").groupBy("c").agg(F.min(F.struct("k", "row")).alias("m")).select(F.col("m.row").alias("row"))
-    stay = written(rows.join(least.unionByName(rows.where("n = 0").select("row")), "row", "left_semi").select(F.col("row").alias("_row"), "_copies"), "ngram-stay")
-    found = docs.withColumn("_row", F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))).join(stay, "_row")
-    once, more = found.where("_copies = 1"), found.where("_copies > 1").dropDuplicates(["_row"])
-    return once.unionByName(more).select(*docs.columns)
+    rows = written(groups.select(F.col(key).alias("k"), "row", "n_shingles", "component_id").groupBy("k", "row").agg(F.min("n_shingles").alias("n"), F.min("component_id").alias("c"), F.count(F.lit(1)).alias("copies")), "ngram-groups")
+    least = rows.where("n > 0").groupBy("c").agg(F.min(F.struct(F.col("k").isNull().alias("no"), "k", "row")).alias("m")).select(F.col("m.k").alias("_k"), F.col("m.row").alias("_r"))
+    gone = rows.where("n > 0").join(least, rows["k"].eqNullSafe(F.col("_k")) & (rows["row"] == F.col("_r")), "left_anti")
+    changed = written(gone.select("k", "row", F.lit(False).alias("_once")).unionByName(rows.join(least, rows["k"].eqNullSafe(F.col("_k")) & (rows["row"] == F.col("_r")), "left_semi").where("copies > 1").select("k", "row", F.lit(True).alias("_once"))).select(F.col("k").alias("_k"), F.col("row").alias("_r"), "_once"), "ngram-changed")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    plain = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], docs[key].cast("long").alias("_key"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("_row"))
+    found = plain.join(fitting(changed), plain["_key"].eqNullSafe(F.col("_k")) & (plain["_row"] == F.col("_r")), "left")
+    out = found.where("_once IS NULL").unionByName(found.where("_once").dropDuplicates(["_key", "_row"]))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

@@ -201,7 +201,7 @@ def test_remove_repeats(spark, corpus):
 
 
 def test_near_duplicates(spark, corpus):
-    from prlens.llm.jaccard import block_links, near_duplicate_groups, one_of_each
+    from prlens.llm.jaccard import block_links, near_duplicate_groups, one_of_each, pair_links
 
     def brute(rows, k, num, den):
         sets = []
@@ -224,18 +224,81 @@ def test_near_duplicates(spark, corpus):
     assert near_duplicate_groups(frame(spark, corpus).limit(0)).count() == 0
     gen = np.random.default_rng(2)
     for _ in range(40):
-        sets = [np.unique(gen.integers(0, 30, int(gen.integers(1, 25)))).astype(np.uint64) for _ in range(15)]
-        sets = [np.array(s, np.uint64) for s in {tuple(s.tolist()) for s in sets}]
+        sets = [np.array(s) for s in {tuple(np.unique(gen.integers(0, 30, int(gen.integers(1, 25)))).tolist()) for _ in range(15)}]
+        more = gen.integers(0, 4, len(sets))  # elements that no other set has
+        sizes = np.array([len(s) for s in sets]) + more
+        linked = [[10 * (o := len(np.intersect1d(a, b))) >= 7 * (n + m - o) for b, m in zip(sets, sizes, strict=True)] for a, n in zip(sets, sizes, strict=True)]
         want = list(range(len(sets)))
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets[:i]):
-                o = len(np.intersect1d(a, b))
-                if 10 * o >= 7 * (len(a) + len(b) - o):
+        for i in range(len(sets)):
+            for j in range(i):
+                if linked[i][j]:
                     want = [want[j] if x == want[i] else x for x in want]
-        have = list(range(len(sets)))
-        for i, j in block_links(sets, 7, 10):
-            have = [have[j] if x == have[i] else x for x in have]
+        have = block_links(sets, sizes, 30, 7, 10).tolist()
         assert [[x == y for x in want] for y in want] == [[x == y for x in have] for y in have]
+        half = len(sets) // 2
+        found = pair_links(sets[:half], sizes[:half], np.arange(half), sets[half:], sizes[half:], np.arange(half, len(sets)), 30, 7, 10)
+        assert all(linked[i][half + j] for i, j in found)
+        want, have = list(range(len(sets))), list(range(len(sets)))
+        for i in range(half):
+            for j in range(half, len(sets)):
+                if linked[i][j]:
+                    want = [want[j] if x == want[i] else x for x in want]
+        for i, j in found:
+            have = [have[half + j] if x == have[i] else x for x in have]
+        assert [[x == y for x in want] for y in want] == [[x == y for x in have] for y in have]
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """2000 copies of a text, exact and near, over many blocks: the links of all pairs, counted by shared n-grams."""
+    from collections import Counter, defaultdict
+
+    from prlens.llm import jaccard
+
+    gen = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for d in range(2000):
+        w = list(base)
+        for k in gen.choice(90, int(gen.integers(0, 7)) * (d % 2), replace=False):
+            w[k] = f"x{gen.integers(0, 3000)}"
+        rows.append((5000 - d, " ".join(w)))
+    sets = {d: {tuple(t.split()[i : i + 4]) for i in range(87)} for d, t in rows}
+    rep = {}
+    for d in sorted(sets):
+        rep.setdefault(frozenset(sets[d]), d)
+    label = {d: d for d in rep.values()}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    holders = defaultdict(list)
+    for d in rep.values():
+        both = Counter(o for g in sets[d] for o in holders[g])
+        for o, k in both.items():
+            if 100 * k >= 85 * (len(sets[d]) + len(sets[o]) - k) and root(o) != root(d):
+                label[max(root(o), root(d))] = min(root(o), root(d))
+        for g in sets[d]:
+            holders[g].append(d)
+    want = sorted((d, root(rep[frozenset(s)])) for d, s in sets.items())
+    assert len({c for _, c in want}) > 100
+    for blocks in (256, 16):
+        monkeypatch.setattr(jaccard, "BLOCK_SETS", blocks)
+        got = jaccard.near_duplicate_groups(frame(spark, rows)).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == want
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    from prlens.llm.jaccard import near_duplicate_groups, one_of_each
+
+    same = " ".join(f"t{i}" for i in range(30))
+    rows = [(None, same), (None, same), (3, same), (3, same), (3, "other words in a text of few"), (4, None), (5, ""), (6, same + " end"), (7, "one"), (8, "ONE"), (9, "long " * 300_000)]
+    got = near_duplicate_groups(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got) == [(0, 27, 3), (0, 27, 3), (3, 4, 3), (3, 27, 3), (3, 27, 3), (4, 0, 4), (5, 0, 5), (6, 28, 3), (7, 1, 7), (8, 1, 7), (9, 1, 9)]
+    docs = frame(spark, rows).selectExpr("doc_id", "text", "1 AS n", "2 AS _row", "3 AS component_id")
+    stay = one_of_each(docs, near_duplicate_groups(docs))
+    assert stay.columns == docs.columns and sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in stay.collect()) == [(3, 28), (3, len(same)), (4, 0), (5, 0), (7, 3), (9, 1_500_000)]
 
 
 def test_components(spark):
