@@ -233,7 +233,10 @@ def _needed(n: str, num: int, den: int) -> Column:
 
 
 def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
-    """``key``, ``n_shingles``, ``component_id`` and ``row`` (a hash of the text) for every row; sets link when intersection / union is ``threshold`` or more."""
+    """``key``, ``n_shingles``, ``component_id``, ``row`` (a hash of the text) and ``group`` (a name of the component, null without n-grams) for every row.
+
+    Sets link when intersection / union is ``threshold`` or more.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     num, den = threshold
@@ -316,10 +319,12 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     for done in (ordered, members, known, more):
         discard(done)
     clean_memory(spark)
-    linked = label_of.select(F.col("node.set_id").alias("set_id"), F.col("label.doc_id").alias("linked"), F.lit(True).alias("_l"))
-    own_least = every_set.select("set_id", F.col("holder.doc_id").alias("least")).join(linked, "set_id", "left").select("set_id", F.when(F.col("_l"), F.col("linked")).otherwise(F.col("least")).alias("component"))
-    out = slim.join(own_least, "set_id", "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "row")
+    linked = label_of.select(F.col("node.set_id").alias("set_id"), F.col("label.doc_id").alias("linked"), F.col("label.set_id").alias("group"))
+    own = every_set.select("set_id", F.col("holder.doc_id").alias("least")).join(linked, "set_id", "left")
+    own = written(own.select("set_id", F.when(F.col("group").isNull(), F.col("least")).otherwise(F.col("linked")).alias("component_id"), F.coalesce("group", "set_id").alias("group")), "ngram-components")
+    discard(label_of)
+    out = slim.join(own, "set_id", "left")  # nothing else in its stage, so that Spark may split a set of very many copies
+    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row", "group")
 
 
 def _prefix_writer(shingle: int, num: int, den: int, buckets: int):  # noqa: ANN202
@@ -479,7 +484,7 @@ def one_of_each(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: s
 
     ``groups``: what :func:`near_duplicate_groups` gave for ``docs``. Rows that are equal in id and text count once.
     """
-    rows = written(groups.select(F.col(key).alias("k"), "row", "n_shingles", "component_id").groupBy("k", "row").agg(F.min("n_shingles").alias("n"), F.min("component_id").alias("c"), F.count(F.lit(1)).alias("copies")), "ngram-groups")
+    rows = written(groups.select(F.col(key).alias("k"), "row", "n_shingles", "group").groupBy("k", "row").agg(F.min("n_shingles").alias("n"), F.min("group").alias("c"), F.count(F.lit(1)).alias("copies")), "ngram-groups")
     least = rows.where("n > 0").groupBy("c").agg(F.min(F.struct(F.col("k").isNull().alias("no"), "k", "row")).alias("m")).select(F.col("m.k").alias("_k"), F.col("m.row").alias("_r"))
     gone = rows.where("n > 0").join(least, rows["k"].eqNullSafe(F.col("_k")) & (rows["row"] == F.col("_r")), "left_anti")
     changed = written(gone.select("k", "row", F.lit(False).alias("_once")).unionByName(rows.join(least, rows["k"].eqNullSafe(F.col("_k")) & (rows["row"] == F.col("_r")), "left_semi").where("copies > 1").select("k", "row", F.lit(True).alias("_once"))).select(F.col("k").alias("_k"), F.col("row").alias("_r"), "_once"), "ngram-changed")
