@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prlens.llm._arrow import small_batches
+from prlens.llm._arrow import small_batches, written
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -32,8 +32,8 @@ INDEX_BYTES = 32 << 20
 #: Postings of a block, whose largest impact is stored.
 BLOCK = 64
 K1, B = 1.2, 0.75
-#: Share of an item's score that words held by many items may give without a passage being searched for them.
-SPARE = 0.3
+#: Items of a block whose bounds decide whether a passage is searched at all.
+NEAR = 4
 
 
 def words_of(text: str | None) -> list[str]:
@@ -60,19 +60,18 @@ def _runs(words: list[str], n: int) -> set[tuple[str, ...]]:
 class BlockMaxIndex:
     """Items by word: for each word the items that hold it, with impacts as shares of the item's own score, in blocks."""
 
-    def __init__(self, items: list[tuple[int, str]], run: int = 5):
+    def __init__(self, items: list[tuple[int, str]], run: int = 5, statistics: tuple[int, float, dict[str, int]] | None = None, longest: int | None = None):
         kept = [(i, t, words_of(t)) for i, t in items]
         kept = sorted((x for x in kept if x[2]), key=lambda x: (x[0] is None, x[0], x[1]))
         self.ids = [i for i, _, _ in kept]
         self.lengths = [len(w) for _, _, w in kept]
-        self.longest = max(self.lengths, default=1)
+        self.longest = longest or max(self.lengths, default=1)
         qa = [question_and_answer(t) for _, t, _ in kept]
         self.question = [(len(q), _runs(q, run)) for q, _ in qa]
         self.answer = [(len(a), _runs(a, run)) for _, a in qa]
         self.whole = [_runs(w, run) for _, _, w in kept]
         self.run = run
-        n, mean = len(kept), sum(self.lengths) / max(1, len(kept))
-        held = Counter(w for _, _, ws in kept for w in set(ws))
+        n, mean, held = statistics or (len(kept), sum(self.lengths) / max(1, len(kept)), Counter(w for _, _, ws in kept for w in set(ws)))
         idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in held.items()}
         lists: dict[str, list[tuple[int, float]]] = {}
         for k, (_, _, ws) in enumerate(kept):
@@ -86,24 +85,17 @@ class BlockMaxIndex:
         self.impacts = [[x for _, x in p] for p in lists.values()]
         self.block_max = [[max(p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for p in self.impacts]
         self.most = np.array([max(p) for p in self.impacts] or [0.0])
-        # words that many items hold, as long as they make up no more than SPARE of any item: no item reaches a
-        # threshold T on a passage whose other words cannot give T - spare
-        common, self.spare = np.zeros(n), 0.0
-        rare = self.most.copy()
-        for t in sorted(range(len(self.items)), key=lambda t: -len(self.items[t])):
-            if len(self.items[t]) < 3:
-                break
-            after = common[self.items[t]] + self.impacts[t]
-            if after.max() <= SPARE:
-                common[self.items[t]] = after
-                rare[t] = 0.0
-        self.spare = float(common.max(initial=0.0))
-        self.rare = rare
-        # postings of the other words in one array, to add up a document's half passages at once
-        lists_ = [list(zip(self.items[t], self.impacts[t], strict=True)) if rare[t] else [] for t in range(len(self.items))]
-        self.first = np.concatenate([[0], np.cumsum([len(p) for p in lists_])]).astype(np.int64)
-        self.flat_items = np.array([k for p in lists_ for k, _ in p], np.int64)
-        self.flat_impacts = np.array([x for p in lists_ for _, x in p])
+        self.best = self.most.tolist()
+        # block bounds of all words in one array: for each word the blocks of items it occurs in, with its largest impact
+        bounds: list[dict[int, float]] = []
+        for ks, xs in zip(self.items, self.impacts, strict=True):
+            top: dict[int, float] = {}
+            for k, x in zip(ks, xs, strict=True):
+                top[k // NEAR] = max(x, top.get(k // NEAR, 0.0))
+            bounds.append(top)
+        self.first = np.concatenate([[0], np.cumsum([len(t) for t in bounds])]).astype(np.int64)
+        self.flat_blocks = np.array([k for t in bounds for k in t], np.int64)
+        self.flat_bounds = np.array([x for t in bounds for x in t.values()])
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score for the query reaches the threshold, by block-max WAND."""
@@ -115,7 +107,7 @@ class BlockMaxIndex:
             cursors.sort()
             bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                bound += self.most[c[2]]
+                bound += self.best[c[2]]
                 if bound >= threshold:
                     pivot = k
                     break
@@ -176,21 +168,18 @@ class BlockMaxIndex:
         known = np.flatnonzero(terms >= 0)
         if not len(known):
             return {}
-        # a half passage's bound: the largest impacts of its distinct words
-        known = known[self.rare[terms[known]] > 0]
-        if not len(known):
-            return {}
+        # a passage (two half passages) is searched if, in some block of items, its words' largest impacts reach the threshold
         pair = np.unique(known // step * len(self.most) + terms[known])
-        # a passage is searched if some item gets enough from these words in its two halves
-        term = pair % len(self.most)
+        term, half = pair % len(self.most), pair // len(self.most)
         n = self.first[term + 1] - self.first[term]
         place = np.repeat(self.first[term] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        h = np.repeat(pair // len(self.most), n)
-        key = np.concatenate([h * len(self.ids) + self.flat_items[place], (h - 1) * len(self.ids) + self.flat_items[place]])
+        blocks = -(-len(self.ids) // NEAR)
+        key = np.repeat(half, n) * blocks + self.flat_blocks[place]
+        key = np.concatenate([key + blocks, key])  # passages by their second half, from 0: the half is a first half, and a second one
         order = np.argsort(key, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-        total = np.add.reduceat(np.tile(self.flat_impacts[place], 2)[order], starts)
-        good = key[order][starts[total >= threshold - self.spare - 1e-9]] // len(self.ids)
+        bound = np.add.reduceat(np.tile(self.flat_bounds[place], 2)[order], starts)
+        good = key[order][starts[bound >= threshold - 1e-9]] // blocks - 1
         out: dict[int, float] = {}
         for h in np.unique(np.maximum(good, 0)):
             start = int(h) * step
@@ -205,35 +194,57 @@ class BlockMaxIndex:
         return out
 
 
+def _statistics(items: DataFrame) -> tuple[int, float]:
+    """Items with words, and their mean length, over the whole benchmark."""
+    n, mean = items.where("length > 0").agg(F.count(F.lit(1)), F.avg("length")).first()
+    return n, float(mean or 1)
+
+
+def _indexed(items: DataFrame, held: DataFrame, part: Column, of: tuple[int, float, int]) -> BlockMaxIndex:
+    """The index of one part of the items, at most about ``INDEX_BYTES``; words weigh as in the whole benchmark."""
+    rows = items.where(part).select("id", "t").collect()
+    words = items.where(part).select(F.explode(F.array_distinct("words")).alias("w")).distinct().join(held, "w").collect()
+    return BlockMaxIndex([tuple(r) for r in rows], statistics=(of[0], of[1], {r["w"]: r["n"] for r in words}), longest=of[2])
+
+
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = 0.6, overlap: float = 0.6, keep: tuple[str, ...] | None = None, prefix: str = "") -> DataFrame:
     """``key`` (or the columns in ``keep``), ``contaminated``, ``n_items``, ``items`` (ids, ascending) and ``best_score`` for every row. No shuffle.
 
-    ``prefix`` goes before the names of the columns that are added, where they would clash. The items' bytes are measured first; each index holds at most ``INDEX_BYTES`` of them (or one longer item).
+    ``prefix`` goes before the names of the columns that are added, where they would clash. The items' bytes are measured
+    first; each index holds at most about ``INDEX_BYTES`` of them (or one longer item) and is broadcast on its own. Passages
+    and weights are those of the whole benchmark in every index, so results do not depend on the number of indexes.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(size / INDEX_BYTES))
     keep = tuple(keep) if keep is not None else (key,)
-    names = [f"_k{i}" for i in range(len(keep))]
-    fields = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
-    out = docs.select(*[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)], F.col(text).alias("_text"), F.array().cast("array<bigint>").alias("items"), F.lit(0.0).alias("best_score"))
-    for b in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == b) if blocks > 1 else benchmark
-        rows = part.select(F.col(item).cast("long"), item_text).where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).collect()  # at most about INDEX_BYTES
-        index = spark.sparkContext.broadcast(BlockMaxIndex([tuple(r) for r in rows]))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    wanted = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
+
+    @F.arrow_udf("array<string>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([words_of(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    items = written(wanted.withColumn("words", split("t")).withColumn("length", F.size("words")), "benchmark-words")
+    held = written(items.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "benchmark-held")
+    size, longest = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.coalesce(F.max("length"), F.lit(1))).first()
+    n, mean = _statistics(items)
+    blocks = max(1, math.ceil(size / INDEX_BYTES))
+
+    def found_by(b: int) -> Column:
+        index = spark.sparkContext.broadcast(_indexed(items, held, F.pmod(F.xxhash64("id"), F.lit(blocks)) == b, (n, mean, longest)))
+
+        @F.arrow_udf("array<struct<item: bigint, score: double>>")
+        def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             ix = index.value
-            for batch in batches:
-                items, best = batch.column("items").to_pylist(), batch.column("best_score").to_pylist()
-                for i, t in enumerate(batch.column("_text").to_pylist()):
-                    hits = ix.find(words_of(t), threshold, overlap) if t else {}
-                    if hits:
-                        items[i] = sorted({*items[i], *(ix.ids[k] for k in hits)})
-                        best[i] = max(best[i], *hits.values())
-                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], batch.column("_text"), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=[*names, "_text", "items", "best_score"])
-
-        out = out.mapInArrow(run, f"{fields}, _text string, items array<bigint>, best_score double")
-    found = {"contaminated": F.size("items") > 0, "n_items": F.size("items").cast("long"), "items": F.col("items"), "best_score": F.col("best_score")}
+            kind = pa.list_(pa.struct([("item", pa.int64()), ("score", pa.float64())]))
+            for texts in batches:
+                hits = [ix.find(words_of(t), threshold, overlap) if t else {} for t in texts.to_pylist()]
+                yield pa.array([[{"item": ix.ids[k], "score": s} for k, s in h.items()] for h in hits], kind)
+
+        return find(docs[text])
+
+    names = [f"_k{i}" for i in range(len(keep))]
+    out = docs.select(*[docs[c].alias(n) for n, c in zip(names, keep, strict=True)], F.concat(*[found_by(b) for b in range(blocks)]).alias("_hits"))
+    ids = F.array_sort(F.array_distinct(F.col("_hits.item")))
+    found = {"contaminated": F.size("_hits") > 0, "n_items": F.size(ids).cast("long"), "items": ids, "best_score": F.coalesce(F.array_max(F.col("_hits.score")), F.lit(0.0))}
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *[c.alias(prefix + n) for n, c in found.items()])

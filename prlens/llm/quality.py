@@ -3,9 +3,10 @@
 A document is a bag of passages. Every passage of the whole text is encoded; gated attention, learned from
 the documents' labels alone, weighs the passages; the weighted representation is scored.
 
-Defined results: a null or empty text is one empty passage and is scored like any other; a null id is held
-out and scored; repeated rows get equal scores; without labelled rows of both kinds the score is the share of
-label 1 (0.5 without any); an empty table gives an empty table.
+Defined results: a null or empty text is one empty passage and is scored like any other; all passages of a very long
+text count; a null id is held out and scored; repeated rows get equal scores; without labelled rows of both kinds the
+score is the share of label 1 (0.5 without any); an empty table gives an empty table; columns that are kept give way to
+added ones of their names, unless these get a prefix.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prlens.llm._arrow import packs, small_batches
@@ -118,9 +119,9 @@ class QualityModel:
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 4000, passages: int = 64, epochs: int = 160, hidden: int = 24, gate: int = 8, seed: int = 7) -> QualityModel:
-        """Learn from at most ``rows`` labelled documents of at most ``passages`` passages each (longer ones are left out of the sample)."""
+        """Learn from at most ``rows`` labelled documents; of longer texts ``passages`` passages count, spread evenly over the whole text."""
         small_batches(docs.sparkSession)
-        sample = labelled_sample(docs, labels, label, rows).where(F.octet_length("text") <= passages * PASSAGE)
+        sample = labelled_sample(docs, labels, label, rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -128,7 +129,8 @@ class QualityModel:
                     x, first = encode(data, offsets)
                     x = x.astype(np.float16)
                     rows_ = b.slice(part.start, part.stop - part.start)
-                    blobs = [x[first[i] : first[i + 1]].tobytes() for i in range(len(first) - 1)]
+                    counts = np.diff(first)
+                    blobs = [x[first[i] + (np.arange(min(n, passages)) * n // min(n, passages))].tobytes() for i, n in enumerate(counts.tolist())]
                     yield pa.RecordBatch.from_arrays([rows_.column("doc_id"), rows_.column("label"), pa.array(blobs, pa.binary())], names=["doc_id", "label", "x"])
 
         got = sample.mapInArrow(run, "doc_id bigint, label double, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(rows).collect()
@@ -156,24 +158,25 @@ class QualityModel:
 
         Kept columns of the names that are added give way, or the added ones get a ``prefix``.
         """
+        added = [prefix + c for c in ("held_out", "score", "predicted")]
+        keep = [c for c in keep if c not in added]
+        out = docs.select(*[docs[c] for c in keep], held_out().alias(added[0]), self.score_of(docs, docs["text"]).alias(added[1]))
+        return out.withColumn(added[2], (F.col(added[1]) >= threshold).cast("int"))
+
+    def score_of(self, docs: DataFrame, text: Column) -> Column:
+        """The score of a text column of ``docs``; only the text goes to Python, in batches of bounded bytes, and only the score comes back."""
         small_batches(docs.sparkSession)
         model = docs.sparkSession.sparkContext.broadcast(self)
-        added = [prefix + c for c in ("held_out", "score", "predicted")]
-        keep = tuple(c for c in keep if c not in added)
-        fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @F.arrow_udf("double")
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             m = model.value
-            for b in batches:
-                found = [m.scores(*encode(data, offsets))[0] for _, data, offsets in packs(b, "_text", PACK)]
-                s = np.concatenate(found).astype(np.float64) if found else np.empty(0)
-                yield pa.RecordBatch.from_arrays(
-                    [*[b.column(c) for c in keep], b.column("_held"), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
-                    names=[*keep, *added],
-                )
-
-        rows = docs.select(*[docs[c] for c in keep], docs["text"].alias("_text"), held_out().alias("_held"))
-        return rows.mapInArrow(run, ", ".join(filter(None, [fields, f"{added[0]} boolean, {added[1]} double, {added[2]} int"])))
+            for texts in batches:
+                batch = pa.RecordBatch.from_arrays([texts], names=["t"])
+                found = [m.scores(*encode(data, offsets))[0] for _, data, offsets in packs(batch, "t", PACK)]
+                yield pa.array(np.concatenate(found).astype(np.float64) if found else np.empty(0))
+
+        return score(text)
 
 
 def _train(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int, hidden: int, gate: int, seed: int) -> dict[str, np.ndarray]:

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prlens.llm._arrow import small_batches
@@ -298,26 +298,29 @@ class ToxicityModel:
 
         Kept columns of the names that are added give way, or the added ones get a ``prefix``.
         """
+        added = [prefix + c for c in ("held_out", "score", "predicted")]
+        keep = [c for c in keep if c not in added]
+        out = docs.select(*[docs[c] for c in keep], held_out().alias(added[0]), self.score_of(docs, docs["text"]).alias(added[1]))
+        return out.withColumn(added[2], (F.col(added[1]) >= threshold).cast("int"))
+
+    def score_of(self, docs: DataFrame, text: Column) -> Column:
+        """The score of a text column of ``docs``; only the text goes to Python, in batches of bounded bytes, and only the score comes back."""
         small_batches(docs.sparkSession)
         model = docs.sparkSession.sparkContext.broadcast(self)
-        added = [prefix + c for c in ("held_out", "score", "predicted")]
-        keep = tuple(c for c in keep if c not in added)
-        fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @F.arrow_udf("double")
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             m = model.value
             index = {g: k for k, g in enumerate(m.features)}
             restorer = Restorer(m.chars) if m.chars else None
-            for b in batches:
+            for texts in batches:
                 if m.base is not None:
-                    s = np.full(len(b), m.base)
+                    yield pa.array(np.full(len(texts), m.base))
                 else:
-                    x = np.stack([m.vector(restorer.text(t), index) for t in b.column("_text").to_pylist()]) if len(b) else np.zeros((0, len(m.weights)), np.float32)
-                    s = 1 / (1 + np.exp(-np.clip(x.astype(np.float64) @ m.weights, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], b.column("_held"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, *added])
+                    x = np.stack([m.vector(restorer.text(t), index) for t in texts.to_pylist()]) if len(texts) else np.zeros((0, len(m.weights)), np.float32)
+                    yield pa.array(1 / (1 + np.exp(-np.clip(x.astype(np.float64) @ m.weights, -30, 30))))
 
-        rows = docs.select(*[docs[c] for c in keep], docs["text"].alias("_text"), held_out().alias("_held"))
-        return rows.mapInArrow(run, ", ".join(filter(None, [fields, f"{added[0]} boolean, {added[1]} double, {added[2]} int"])))
+        return score(text)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, epochs: int) -> np.ndarray:
