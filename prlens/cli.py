@@ -53,7 +53,10 @@ def main(argv: list[str] | None = None) -> None:
             read(a.prs), read(a.repos), read(a.users), rejected=not a.all_states, star_minimum=a.star_minimum, language=a.language or None, agents=agents, user_minimum=a.user_minimum,
             forks_minimum=a.forks_minimum, age_minimum=a.age_minimum, age_maximum=a.age_maximum, english_title=not a.all_languages, require_body=not a.all_bodies, url_status=read(a.url_status), now=a.now,
         ).cache()
-        settings = sinks.descriptor(a.star_minimum if a.star_minimum % 1 else int(a.star_minimum), a.language, agents, a.user_minimum, a.forks_minimum, a.age_minimum, a.age_maximum, not a.all_states, not a.all_languages, not a.all_bodies, bool(a.url_status))
+        settings = sinks.descriptor(
+            star_minimum=a.star_minimum if a.star_minimum % 1 else int(a.star_minimum), language=a.language, agents=agents, user_minimum=a.user_minimum, forks_minimum=a.forks_minimum, age_minimum=a.age_minimum,
+            age_maximum=a.age_maximum, rejected=not a.all_states, english_title=not a.all_languages, require_body=not a.all_bodies, require_live_url=bool(a.url_status),
+        )
         sinks.write_csv(ids, f"{a.out}/{sinks.output_name(datetime.date.today().isoformat(), settings, ids.count())}")
     elif a.command == "metadata":
         prs = read(a.prs)

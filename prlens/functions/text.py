@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,12 +11,13 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
 #: Fixed patterns of the metric definitions.
-BUG_FIX = r"(?i)\b(bug|bugs|fix|fixes|fixed|fixing|defect|defects|error|errors|fault|faults|issue|issues|patch|crash)\b"
+BUG_FIX = r"(fix(e[sd])?|bug|defect|fault|error|crash|repair)"
+BUG_LABEL = r"bug|defect|regression"
 HASH_TAG = r"(?:^|\s)#[0-9]+"
 AT_TAG = r"(?:^|[^A-Za-z0-9_.@/])@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 CONFLICT = r"(?i)conflict"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-TEST_FILE = r"(?i)(^|/)(tests?|testing|specs?|__tests__)/|(^|/)test_[^/]*$|_test\.[^/]+$|\.(test|spec)\.[^/]+$|Tests?\.[^/]+$"
+TEST_FILE = r"(^|/)(tests?|specs?)/|_test\.|\.test\.|Test.*\.java"
 BOT = r"\[bot\]$"
 
 
@@ -35,9 +38,9 @@ def is_blank(c: Column) -> Column:
 
 def english_title(c: Column, most: float = 0.3) -> Column:
     """Whether at most that share of a title's letters are outside the Latin script; titles without letters pass."""
-    letters = F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
-    latin = F.length(F.regexp_replace(c, r"[^\p{IsLatin}]|[^\p{L}]", ""))
-    return F.coalesce((letters == 0) | ((letters - latin) / letters <= F.lit(most)), F.lit(True))
+    # runs of signs are taken out, which for mostly Latin texts is a few long ones; letters are counted only if others remain
+    other = F.length(F.regexp_replace(c, r"[\p{IsLatin}\P{L}]+", ""))
+    return F.coalesce((other == 0) | (other / F.length(F.regexp_replace(c, r"\P{L}+", "")) <= F.lit(most)), F.lit(True))
 
 
 def strip_markdown(c: Column) -> Column:
@@ -57,16 +60,24 @@ def description_length(c: Column) -> Column:
     return word_count(strip_markdown(c))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Runs of ``n`` tokens, joined by blanks."""
-    last = F.size(tokens) - (n - 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it occurs in there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def ngrams(tokens: Column, *sizes: int) -> Column:
+    """Runs of so many tokens, joined by blanks; all runs of the first size, then of the next."""
+
+    def runs(w: Column) -> Column:
+        one = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+        return F.flatten(F.array(*[one(n) for n in sizes]))
+
+    return once(tokens, runs)
 
 
 def keyword_density(c: Column, lexicon: list[str]) -> Column:
     """Share of a text's lower-cased words that are in a lexicon; 0 without words."""
-    w = words(F.lower(c))
-    return F.when(F.size(w) == 0, F.lit(0.0)).otherwise(F.size(F.filter(w, lambda x: x.isin(lexicon))) / F.size(w))
+    return once(words(F.lower(c)), lambda w: F.when(F.size(w) == 0, F.lit(0.0)).otherwise(F.size(F.filter(w, lambda x: x.isin(lexicon))) / F.size(w)))
 
 
 def changed_lines(patch: Column) -> Column:
@@ -80,17 +91,30 @@ def diff_hunks(patch: Column) -> Column:
     return F.coalesce(F.regexp_count(patch, F.lit(r"(?m)^@@ ")), F.lit(0)).cast("long")
 
 
+#: Tags of language names that letters and digits alone would confuse.
+LANGUAGE_TAGS = {"c++": "cpp", "c#": "csharp", "python": "py"}
+#: What a tag of any other name leaves out.
+NOT_TAG = r"[^\p{L}\p{N}]"
+
+
 def language_tag(c: Column) -> Column:
-    """A language's tag in names."""
+    """A language's tag in names: a special one, else the lower-cased name's letters and digits."""
     low = F.lower(F.trim(c))
-    return F.when(low == "c++", "cpp").when(low == "c#", "csharp").when(low == "python", "py").otherwise(F.regexp_replace(low, r"[^\p{L}\p{N}]", ""))
+    special = F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGE_TAGS.items() for x in kv]), low)
+    return F.coalesce(special, F.regexp_replace(low, NOT_TAG, ""))
+
+
+#: Aliases of organisations, and e-mail providers that tell of none.
+ALIASES = {"msft": "microsoft"}
+PROVIDERS = ("gmail.com", "outlook.com", "users.noreply.github.com")
 
 
-def affiliation(company: Column) -> Column:
-    """A company name in lower case without a leading @, marks and legal forms."""
-    low = F.regexp_replace(F.lower(F.trim(company)), r"^@", "")
-    low = F.regexp_replace(low, r"[,.]", "")
-    return F.nullif(F.trim(F.regexp_replace(low, r"\b(inc|llc|ltd|gmbh|corp|corporation|co|company)\b", "")), F.lit(""))
+def affiliation(company: Column, aliases: dict[str, str] | None = None) -> Column:
+    """A company name in lower case without @, marks and legal forms, by its main name where it is an alias; null if nothing is left."""
+    low = F.regexp_replace(F.lower(F.trim(company)), r"[^\p{L}\p{N}\s]", "")
+    bare = F.nullif(F.trim(F.regexp_replace(low, r"\b(inc|llc|ltd|gmbh|corp|corporation|co|company)\b", "")), F.lit(""))
+    known = ALIASES if aliases is None else aliases
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), bare), bare) if known else bare
 
 
 def is_bot(login: Column, known: tuple[str, ...] = ()) -> Column:

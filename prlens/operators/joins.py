@@ -11,31 +11,48 @@ from prlens.functions.timing import DAY, micros
 def asof_backward(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
     """``left`` with the values of the last row of ``right`` of the same key at or before its time; nulls where none is.
 
-    Both sides are put into one sequence per key and carried forward, so cost is one shuffle and sort by key and
-    time, not grid points times history. Of right rows at one instant the one with the largest values counts.
+    Both sides are put into one sequence per key and day and carried forward; the last row of each day is carried over
+    days in a table of one row a key and day. So cost is a shuffle and sort by key, day and time, not grid points times
+    history, and no task sorts all of a key's history. Of right rows at one instant the one with the largest values
+    counts. Rows of ``left`` without key or time stay, with nulls.
     """
     payload = F.struct(F.col(right_ts).alias("_rt"), *[F.col(v).alias(f"_r_{v}") for v in values])
-    names = left.columns
-    rows = left.select(F.col(key).alias("_k"), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*names).alias("_l"), F.lit(None).cast(right.select(payload).schema[0].dataType).alias("_r"))
-    more = right.where(F.col(right_ts).isNotNull()).select(F.col(key).alias("_k"), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_l"].dataType).alias("_l"), payload.alias("_r"))
-    w = Window.partitionBy("_k").orderBy(F.col("_t"), F.col("_side"), F.col("_r")).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.unionByName(more).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    found = F.when(F.col("_t").isNotNull() & F.col("_k").isNotNull(), F.col("_r"))
-    return out.withColumn("_r", found).select("_l.*", F.col("_r._rt").alias(right_ts if right_ts not in names else right_ts + "_right"), *[F.col(f"_r._r_{v}").alias(v if v not in names else v + "_right") for v in values])
-
-
-def running_before(df: DataFrame, key: str, ts: str, sums: dict[str, Column], inclusive: bool = False) -> DataFrame:
-    """``df`` with running sums over rows of the same key at earlier times (``inclusive``: at the same time too).
-
-    Sums run per day first and within a day after, so that a hot key's rows are spread over its days.
+    day = lambda c: F.floor(micros(F.col(c)) / DAY).cast("long").alias("_d")
+    whole = F.struct(*left.columns).alias("_l")
+    kind = right.select(payload).schema[0].dataType
+    outside = F.col(key).isNull() | F.col(left_ts).isNull()
+    rows = left.where(~outside).select(F.col(key).alias("_k"), day(left_ts), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), whole, F.lit(None).cast(kind).alias("_r"))
+    events = right.where(F.col(right_ts).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), day(right_ts), F.col(right_ts).alias("_t"), payload.alias("_r"))
+    inside = Window.partitionBy("_k", "_d").orderBy("_t", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(events.select("_k", "_d", "_t", F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_l"].dataType).alias("_l"), "_r"))
+    today = both.withColumn("_r", F.last("_r", ignorenulls=True).over(inside)).where("_side = 1")
+    days = rows.select("_k", "_d", "_r", F.lit(None).cast(rows.schema["_t"].dataType).alias("_t")).unionByName(events).groupBy("_k", "_d").agg(F.max(F.struct("_t", "_r")).alias("_m"))
+    past = Window.partitionBy("_k").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select("_k", "_d", F.last(F.col("_m._r"), ignorenulls=True).over(past).alias("_b"))
+    found = today.join(before, ["_k", "_d"], "left").select("_l", F.coalesce("_r", "_b").alias("_r"))
+    found = found.unionByName(left.where(outside).select(whole, F.lit(None).cast(kind).alias("_r")))
+    name = lambda c: c if c not in left.columns else c + "_right"
+    return found.select("_l.*", F.col("_r._rt").alias(name(right_ts)), *[F.col(f"_r._r_{v}").alias(name(v)) for v in values])
+
+
+def running_before(df: DataFrame, key: str, ts: str, sums: dict[str, Column], late: Column | None = None) -> DataFrame:
+    """``df`` with running sums over rows of the same key at earlier times.
+
+    At one time, rows with a true ``late`` come after the others, which count for them. Rows without key or time stay and
+    get sums of 0; they count for no other. Sums run per day first and within a day after, so that a hot key's rows are
+    spread over its days.
     """
-    work = df.withColumn("_us", micros(F.col(ts))).withColumn("_day", F.floor(F.col("_us") / DAY).cast("long")).withColumns({f"_v_{k}": v for k, v in sums.items()})
+    outside = F.col(key).isNull() | F.col(ts).isNull()
+    place = micros(F.col(ts)) * 2 + (late.cast("long") if late is not None else F.lit(0))
+    work = df.where(~outside).withColumn("_us", place).withColumn("_day", F.floor(F.col("_us") / (2 * DAY)).cast("long")).withColumns({f"_v_{k}": v for k, v in sums.items()})
     days = work.groupBy(key, "_day").agg(*[F.sum(f"_v_{k}").alias(f"_d_{k}") for k in sums])
     past = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select(key, "_day", *[F.coalesce(F.sum(f"_d_{k}").over(past), F.lit(0)).alias(f"_p_{k}") for k in sums])
-    inside = Window.partitionBy(key, "_day").orderBy("_us").rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inside = Window.partitionBy(key, "_day").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
     work = work.withColumns({f"_w_{k}": F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0)) for k in sums}).join(days, [key, "_day"])
-    return work.select(*df.columns, *[(F.col(f"_p_{k}") + F.col(f"_w_{k}")).alias(k) for k in sums])
+    out = work.select(*df.columns, *[(F.col(f"_p_{k}") + F.col(f"_w_{k}")).alias(k) for k in sums])
+    kinds = dict(out.dtypes)
+    return out.unionByName(df.where(outside).select(*df.columns, *[F.lit(0).cast(kinds[k]).alias(k) for k in sums]))
 
 
 def prior_count(df: DataFrame, key: str, ts: str, name: str = "prior_count") -> DataFrame:
@@ -46,16 +63,15 @@ def prior_count(df: DataFrame, key: str, ts: str, name: str = "prior_count") ->
 def open_at(df: DataFrame, key: str, start: str, end: str, name: str = "open_count") -> DataFrame:
     """``df`` with the number of intervals of the same key that are open at each row's start.
 
-    An interval counts if it started strictly earlier and has no end or ends later. Starts count +1, ends -1, in one
-    running sum; no pairs of intervals are made. Intervals that end when they start are never open.
+    An interval counts if it started strictly earlier and has no end or ends later. Starts count +1 and ends -1, in one
+    running sum in which ends come before starts of their time; no pairs of intervals are made. Intervals that end when
+    they start are never open. A row without key or start counts 0.
     """
     real = F.col(end).isNull() | (F.col(end) > F.col(start))
-    begin = df.select("*", F.lit(1).alias("_own"), F.col(start).alias("_at"), F.when(real, 1).otherwise(0).cast("long").alias("_plus"), F.lit(0).cast("long").alias("_minus"))
-    ends = df.where(F.col(end).isNotNull() & real).select("*", F.lit(0).alias("_own"), F.col(end).alias("_at"), F.lit(0).cast("long").alias("_plus"), F.lit(1).cast("long").alias("_minus"))
-    both = begin.unionByName(ends)
-    up = running_before(both, key, "_at", {"_up": F.col("_plus")})
-    down = running_before(up, key, "_at", {"_down": F.col("_minus")}, inclusive=True)
-    return down.where("_own = 1").withColumn(name, F.col("_up") - F.col("_down")).select(*df.columns, name)
+    begin = df.select("*", F.lit(True).alias("_own"), F.col(start).alias("_at"), F.when(real, 1).otherwise(0).cast("long").alias("_plus"))
+    ends = df.where(F.col(end).isNotNull() & real).select("*", F.lit(False).alias("_own"), F.col(end).alias("_at"), F.lit(-1).cast("long").alias("_plus"))
+    run = running_before(begin.unionByName(ends), key, "_at", {name: F.col("_plus")}, late=F.col("_own"))
+    return run.where("_own").select(*df.columns, name)
 
 
 def success_before(df: DataFrame, key: str, start: str, end: str, won: Column, name: str = "success_rate") -> DataFrame:
@@ -69,16 +85,21 @@ def success_before(df: DataFrame, key: str, start: str, end: str, won: Column, n
 def rolling_distinct(events: DataFrame, points: DataFrame, key: str, ts: str, at: str, value: str, days: int = 90, name: str = "distinct_count") -> DataFrame:
     """``points`` with the distinct values of the events of the same key in ``[at - days, at)``.
 
-    Events are reduced to one row a key, value and day; a point joins the days of its window by bucket, and the two
-    days at its edges by time.
+    An event at t counts for points in (t, t + days]. Overlapping stretches of one key and value are joined, then each
+    adds 1 at its beginning and takes 1 away after its end, in one running sum: events and points are never paired.
     """
     span = days * DAY
-    p = points.withColumn("_at", micros(F.col(at))).withColumn("_pid", F.monotonically_increasing_id())
-    e = events.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"), micros(F.col(ts)).alias("_t")).withColumn("_b", F.floor(F.col("_t") / span).cast("long")).distinct()
-    slots = p.select(key, "_pid", "_at", F.explode(F.array(F.floor((F.col("_at") - span) / span).cast("long"), F.floor(F.col("_at") / span).cast("long"))).alias("_b"))
-    hits = slots.join(e, [key, "_b"]).where((F.col("_t") < F.col("_at")) & (F.col("_t") >= F.col("_at") - span))
-    counts = hits.groupBy("_pid").agg(F.countDistinct("_v").alias(name))
-    return p.join(counts, "_pid", "left").select(*points.columns, F.coalesce(name, F.lit(0)).alias(name))
+    e = events.where(F.col(value).isNotNull() & F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v"), micros(F.col(ts)).alias("_t"))
+    w = Window.partitionBy("_k", "_v").orderBy("_t")
+    e = e.withColumns({"_first": F.coalesce(F.col("_t") > F.lag("_t").over(w) + span, F.lit(True)), "_last": F.coalesce(F.col("_t") + span < F.lead("_t").over(w), F.lit(True))})
+    edges = F.concat(F.when(F.col("_first"), F.array(F.struct(F.col("_t").alias("t"), F.lit(1).cast("long").alias("n")))).otherwise(F.array().cast("array<struct<t:bigint,n:bigint>>")),
+                     F.when(F.col("_last"), F.array(F.struct((F.col("_t") + span).alias("t"), F.lit(-1).cast("long").alias("n")))).otherwise(F.array().cast("array<struct<t:bigint,n:bigint>>")))
+    e = e.select("_k", F.explode(edges).alias("_e")).groupBy("_k", "_e.t").agg(F.sum("_e.n").alias("_step"))
+    whole = F.struct(*points.columns).alias("_p")
+    p = points.select(whole, F.col(key).alias("_k"), micros(F.col(at)).alias("_t"), F.lit(0).cast("long").alias("_step"))
+    e = e.select(F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), "_k", F.col("t").alias("_t"), "_step")
+    both = p.withColumn("_own", F.lit(True)).unionByName(e.withColumn("_own", F.lit(False))).withColumn("_t", F.timestamp_micros("_t"))
+    return running_before(both, "_k", "_t", {name: F.col("_step")}).where("_own").select("_p.*", name)
 
 
 def neighbours(df: DataFrame, key: str, order: list[str], is_event: Column, k: int = 10) -> DataFrame:

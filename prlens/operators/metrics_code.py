@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed patterns: what starts a test case and what asserts, by language.
-TEST_CASE = {"Python": r"(?m)^\s*(?:async\s+)?def\s+test\w*\s*\(", "C#": r"\[(?:Fact|Theory|Test|TestMethod|TestCase)\b", "Java": r"@(?:Test|ParameterizedTest)\b", "JavaScript": r"\b(?:it|test)\s*\("}
+TEST_CASE = {"Python": r"(?m)^\s*def test_", "Java": r"@Test", "JavaScript": r"\b(it|test)\(", "TypeScript": r"\b(it|test)\(", "Go": r"(?m)^func Test", "Ruby": r"(?m)^\s*(it|test) "}
+#: Languages by file name extension.
+EXTENSIONS = {"py": "Python", "java": "Java", "js": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "go": "Go", "rb": "Ruby"}
 ASSERT = r"\bassert\w*\b|\bAssert\.\w+|\bexpect\s*\("
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.Assert, ast.comprehension)
 _NESTED = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try)
@@ -41,6 +43,11 @@ def test_cases(text: Column, language: Column) -> Column:
     return F.coalesce(out, F.lit(0)).cast("long")
 
 
+def language_of(path: Column) -> Column:
+    """A file's language by its extension; null for others."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv]), F.lower(F.regexp_extract(path, r"\.(\w+)$", 1)))
+
+
 def asserts(text: Column) -> Column:
     """Assertions in a text."""
     return F.coalesce(F.regexp_count(text, F.lit(ASSERT)), F.lit(0)).cast("long")
@@ -87,18 +94,23 @@ def _unused(tree: ast.AST) -> int:
     return total
 
 
+def _name(x: ast.AST) -> str | None:
+    """The last part of a name."""
+    return x.id if isinstance(x, ast.Name) else x.attr if isinstance(x, ast.Attribute) else None
+
+
 def _class_facts(c: ast.ClassDef) -> dict:
-    """Lines, complexity, foreign attributes, cohesion and coupling of a class."""
+    """Lines, complexity, foreign attributes, cohesion, bases and coupling of a class."""
     methods = [m for m in c.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))]
     own = [{x.attr for x in ast.walk(m) if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and x.value.id == "self"} for m in methods]
     pairs = [(a, b) for i, a in enumerate(own) for b in own[i + 1 :]]
     tied = sum(bool(a & b) for a, b in pairs)
     foreign = {(x.value.id, x.attr) for m in methods for x in ast.walk(m) if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and x.value.id not in ("self", "cls")}
     calls = {x.func.id for m in methods for x in ast.walk(m) if isinstance(x, ast.Call) and isinstance(x.func, ast.Name)}
-    return {"loc": c.end_lineno - c.lineno + 1, "wmc": sum(map(_cyclomatic, methods)), "atfd": len(foreign), "tcc": tied / len(pairs) if pairs else 1.0, "lcom": max(0, len(pairs) - 2 * tied), "dit": len(c.bases), "fan_out": len(calls)}
+    return {"loc": c.end_lineno - c.lineno + 1, "wmc": sum(map(_cyclomatic, methods)), "atfd": len(foreign), "tcc": tied / len(pairs) if pairs else 1.0, "lcom": max(0, len(pairs) - 2 * tied), "bases": [b for b in map(_name, c.bases) if b], "uses": sorted(calls), "fan_out": len(calls)}
 
 
-FILE_METRICS = "parsed boolean, cyclomatic bigint, nesting bigint, halstead double, unused_vars bigint, longest_method bigint, methods bigint, classes array<struct<name:string,loc:bigint,wmc:bigint,atfd:bigint,tcc:double,lcom:bigint,dit:bigint,fan_out:bigint>>, error string"
+FILE_METRICS = "parsed boolean, cyclomatic bigint, nesting bigint, halstead double, unused_vars bigint, longest_method bigint, methods bigint, classes array<struct<name:string,loc:bigint,wmc:bigint,atfd:bigint,tcc:double,lcom:bigint,bases:array<string>,uses:array<string>,fan_out:bigint>>, error string"
 
 
 def measure(text: str | None) -> dict:
@@ -140,6 +152,41 @@ def class_smells(metrics: DataFrame, group: str) -> DataFrame:
     return j.withColumns({"large_class": F.col("loc") >= F.col("_loc"), "god_object": (F.col("atfd") > 5) & (F.col("wmc") >= F.col("_wmc")) & (F.col("tcc") < 1 / 3)}).drop("_loc", "_wmc")
 
 
+def class_hierarchy(metrics: DataFrame, group: list[str]) -> DataFrame:
+    """``group``, ``name``, ``dit`` and ``fan_in`` of the classes of a snapshot, one task a snapshot.
+
+    ``dit``: the longest chain of bases among the snapshot's classes, one step for a base from outside, 0 without bases;
+    cycles end where they close. ``fan_in``: other classes of the snapshot that call the class. Names are bare names; of
+    classes with one name the bases are joined.
+    """
+    classes = metrics.select(*group, F.explode("classes").alias("c")).select(*group, "c.name", "c.bases", "c.uses")
+    fields = ", ".join(f"`{k}` {metrics.schema[k].dataType.simpleString()}" for k in group)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        bases: dict[str, set[str]] = {}
+        users: dict[str, set[str]] = {}
+        for name, b, uses in zip(g["name"], g["bases"], g["uses"], strict=True):
+            bases.setdefault(name, set()).update(b)
+            for u in uses:
+                users.setdefault(u, set()).add(name)
+        depth: dict[str, int] = {}
+
+        def of(name: str, above: frozenset[str]) -> int:
+            if name not in bases or name in above:
+                return 0
+            if name not in depth:
+                depth[name] = max((1 + of(b, above | {name}) for b in bases[name]), default=0)
+            return depth[name]
+
+        rows = [(n, of(n, frozenset()), len(users.get(n, set()) - {n})) for n in sorted(bases)]
+        out = pd.DataFrame(rows, columns=["name", "dit", "fan_in"])
+        for i, k in enumerate(group):
+            out.insert(i, k, g[k].iloc[0])
+        return out
+
+    return classes.groupBy(*group).applyInPandas(run, f"{fields}, name string, dit bigint, fan_in bigint")
+
+
 def long_method(metrics: DataFrame, most: int = 100) -> DataFrame:
     """Adds whether a file has a method of more than ``most`` lines."""
     return metrics.withColumn("long_method", F.col("longest_method") > most)
@@ -150,9 +197,11 @@ def duplicate_code(files: DataFrame, key: list[str], text: str = "text", tokens:
 
     Runs are matched by hash; the count of a run is an aggregation, so copies are never paired.
     """
+    from prlens.functions.text import once
+
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+|(?<=\W)|(?=\W)"), lambda x: F.trim(x) != "")
-    base = files.select(*key, words.alias("_w"))
-    runs = base.where(F.size("_w") >= tokens).select(*key, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - (tokens - 1)), lambda i: F.xxhash64(F.slice("_w", i, F.lit(tokens))))).alias("place", "_h"))
+    hashes = once(words, lambda w: F.when(F.size(w) >= tokens, F.transform(F.sequence(F.lit(1), F.size(w) - (tokens - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(tokens))))))
+    runs = files.select(*key, F.posexplode(hashes).alias("place", "_h"))
     copies = runs.groupBy("_h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     return runs.join(copies, "_h").select(*key, F.col("place").cast("long").alias("place"), "copies")
 
@@ -164,15 +213,32 @@ def smell_density(smells: DataFrame, sizes: DataFrame, keys: list[str]) -> DataF
     return counts.join(sizes.select(*keys, "lines", "components"), keys).select(*keys, "kind", "n", F.try_divide(F.col("n"), size).alias("density"))
 
 
-def snapshot_covariates(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Files, physical and code lines, test lines per 1000, test cases and assertions per 1000 code lines of each snapshot."""
+def snapshot_covariates(files: DataFrame, keys: list[str], text: str = "text", language: str | None = None) -> DataFrame:
+    """Files, physical and code lines, and per 1000 code lines the test lines, test cases and assertions of each snapshot.
+
+    Test cases and assertions count in test files only, by the file's ``language`` (by its extension where none is given).
+    """
     from prlens.functions.text import TEST_FILE
 
-    is_test = F.col("path").rlike(TEST_FILE)
+    is_test = F.coalesce(F.col("path").rlike(TEST_FILE), F.lit(False))
     code = code_lines(F.col(text))
+    lang = F.col(language) if language else language_of(F.col("path"))
     agg = files.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("files"), F.sum(physical_lines(F.col(text))).alias("loc"), F.sum(code).alias("sloc"), F.sum(F.when(is_test, code).otherwise(0)).alias("_t"),
-        F.sum(test_cases(F.col(text), F.lit("Python"))).alias("_c"), F.sum(asserts(F.col(text))).alias("_a"),
+        F.sum(F.when(is_test, test_cases(F.col(text), lang)).otherwise(0)).alias("_c"), F.sum(F.when(is_test, asserts(F.col(text))).otherwise(0)).alias("_a"),
     )
     per = lambda c: F.try_divide(F.col(c) * 1000.0, F.col("sloc"))
     return agg.select(*keys, "files", "loc", "sloc", per("_t").alias("test_lines_per_kloc"), per("_c").alias("test_cases_per_kloc"), per("_a").alias("asserts_per_kloc"))
+
+
+def introduced_in(findings: DataFrame, added: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Per pull request the findings (``start_line``, ``end_line``, ``rule``) that touch lines it added (``from_line``, ``to_line``)."""
+    from prlens.operators.joins import line_overlap
+
+    return line_overlap(findings.select(*keys, "rule", "start_line", "end_line"), added, keys).groupBy(keys[0]).agg(F.count(F.lit(1)).alias(name))
+
+
+def net_change(head: DataFrame, base: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Head minus base of a summed file metric by ``key``; a side without files counts 0."""
+    total = lambda d, n: d.groupBy(key).agg(F.sum(value).alias(n))
+    return total(head, "_h").join(total(base, "_b"), key, "full_outer").select(key, (F.coalesce("_h", F.lit(0)) - F.coalesce("_b", F.lit(0))).alias(name))

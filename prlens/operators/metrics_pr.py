@@ -13,6 +13,11 @@ from prlens.functions import text, timing
 from prlens.operators.joins import channel_union, open_at, prior_count, rolling_distinct, success_before
 
 
+def _pair(a: str, b: str) -> Column:
+    """Two values as one key; null if either is."""
+    return F.concat(F.col(a).cast("string"), F.lit("\u0001"), F.col(b).cast("string"))
+
+
 def with_default(prs: DataFrame, metric: DataFrame, name: str, default: int | float | bool | None) -> DataFrame:
     """``pr_id`` and the metric for every pull request."""
     out = prs.select(F.col("id").alias("pr_id")).join(metric, "pr_id", "left")
@@ -24,14 +29,15 @@ def review_comments_of(comments: DataFrame, reviews: DataFrame) -> DataFrame:
     return comments.join(reviews.select(F.col("id").alias("pull_request_review_id"), "pr_id"), "pull_request_review_id")
 
 
-def bug_fix(prs: DataFrame, issue_labels: DataFrame | None = None) -> DataFrame:
-    """Whether title, body or a linked issue's label speaks of a fix."""
-    said = F.concat_ws(" ", "title", "body").rlike(text.BUG_FIX)
-    out = prs.select(F.col("id").alias("pr_id"), said.alias("_said"))
-    if issue_labels is None:
-        return out.select("pr_id", F.col("_said").alias("bug_fix"))
-    hit = issue_labels.where(F.col("label").rlike(r"(?i)bug|defect|fix")).select("pr_id").distinct().withColumn("_l", F.lit(True))
-    return out.join(hit, "pr_id", "left").select("pr_id", (F.col("_said") | F.coalesce("_l", F.lit(False))).alias("bug_fix"))
+def bug_fix(prs: DataFrame, issue_labels: DataFrame | None = None, timeline: DataFrame | None = None) -> DataFrame:
+    """Whether title or body outside code, a linked issue's label or a label put on the pull request (event ``labeled``) speaks of a bug."""
+    said = F.lower(text.strip_code(F.concat_ws(" ", "title", "body"))).rlike(text.BUG_FIX)
+    out = prs.select(F.col("id").alias("pr_id"), said.alias("bug_fix"))
+    for labels in (issue_labels, timeline.where("event = 'labeled'") if timeline is not None else None):
+        if labels is not None:
+            hit = labels.where(F.lower("label").rlike(text.BUG_LABEL)).select("pr_id").distinct().withColumn("_l", F.lit(True))
+            out = out.join(hit, "pr_id", "left").select("pr_id", (F.col("bug_fix") | F.coalesce("_l", F.lit(False))).alias("bug_fix"))
+    return out
 
 
 def text_flags(prs: DataFrame) -> DataFrame:
@@ -43,6 +49,11 @@ def text_flags(prs: DataFrame) -> DataFrame:
     )
 
 
+def inline_threads(inline: DataFrame) -> DataFrame:
+    """``pr_id`` and ``num_threads``: inline comments that start a thread (in_reply_to_id null)."""
+    return inline.where("in_reply_to_id IS NULL").groupBy("pr_id").agg(F.count(F.lit(1)).alias("num_threads"))
+
+
 def participants(prs: DataFrame, *channels: DataFrame, bots: tuple[str, ...] = ()) -> DataFrame:
     """Distinct people in the channels (pr_id, user), without the author and bots."""
     people = channel_union(*[c.select("pr_id", "user") for c in channels]).where(~text.is_bot(F.col("user"), bots))
@@ -50,8 +61,13 @@ def participants(prs: DataFrame, *channels: DataFrame, bots: tuple[str, ...] = (
     return with_default(prs, people.groupBy("pr_id").agg(F.countDistinct("user").alias("num_participants")), "num_participants", 0)
 
 
-def ci(prs: DataFrame, runs: DataFrame) -> DataFrame:
-    """``ci_exists``, ``ci_latency`` (minutes to the first completion at or after the start) and ``ci_test_passed``; the last two null without runs."""
+def ci(prs: DataFrame, runs: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
+    """``ci_exists``, ``ci_latency`` (minutes to the first completion at or after the start) and ``ci_test_passed``; the last two null without runs.
+
+    ``runs`` has pr_id, conclusion and completed_at; commit ``statuses`` (pr_id, state, updated_at) count as runs, but not while pending.
+    """
+    if statuses is not None:
+        runs = runs.select("pr_id", "conclusion", "completed_at").unionByName(statuses.where("state <> 'pending'").select("pr_id", F.col("state").alias("conclusion"), F.col("updated_at").alias("completed_at")))
     r = runs.join(prs.select(F.col("id").alias("pr_id"), F.col("created_at").alias("_t0")), "pr_id")
     done = F.when(F.col("completed_at").cast("timestamp") >= F.col("_t0").cast("timestamp"), timing.minutes(F.col("_t0"), F.col("completed_at")))
     agg = r.groupBy("pr_id").agg(F.lit(True).alias("ci_exists"), F.min(done).alias("ci_latency"), F.bool_and(F.col("conclusion").isin("success", "neutral", "skipped")).alias("ci_test_passed"))
@@ -169,8 +185,8 @@ def prior_reviews(prs: DataFrame, reviews: DataFrame) -> DataFrame:
 def core_member(prs: DataFrame, days: int = 90) -> DataFrame:
     """Whether the author is an owner, member or collaborator, or had one merged in the repository in the ``days`` before."""
     merged = prs.where(F.col("merged_at").isNotNull()).select("repo_id", F.col("user").alias("_u"), F.col("merged_at").alias("_m"))
-    keyed = prs.withColumn("_k", F.concat_ws("\u0001", "repo_id", "user"))
-    won = merged.withColumn("_k", F.concat_ws("\u0001", "repo_id", "_u"))
+    keyed = prs.withColumn("_k", _pair("repo_id", "user"))
+    won = merged.withColumn("_k", _pair("repo_id", "_u"))
     counts = rolling_distinct(won, keyed, "_k", "_m", "created_at", "_m", days, "_won")
     known = F.col("author_association").isin("OWNER", "MEMBER", "COLLABORATOR") if "author_association" in prs.columns else F.lit(False)
     return counts.select(F.col("id").alias("pr_id"), (F.coalesce(known, F.lit(False)) | (F.col("_won") > 0)).alias("core_member"))
@@ -185,12 +201,24 @@ def social_strength(prs: DataFrame, core: DataFrame, contacts: DataFrame) -> Dat
     return out.select(F.col("id").alias("pr_id"), F.try_divide(F.coalesce("_m", F.lit(0)), "_n").alias("social_strength"))
 
 
-def affiliations(prs: DataFrame, people: DataFrame) -> DataFrame:
+def affiliation_of(people: DataFrame, emails: DataFrame | None = None) -> DataFrame:
+    """``login`` and ``affiliation``: the company, else the most frequent domain of the person's e-mails (login, email) that is no provider's, else unknown."""
+    out = people.select("login", text.affiliation(F.col("company")).alias("_c"))
+    if emails is None:
+        return out.select("login", F.coalesce("_c", F.lit("unknown")).alias("affiliation"))
+    domain = F.lower(F.substring_index("email", "@", -1))
+    counts = emails.where(F.contains("email", F.lit("@")) & ~domain.isin(*text.PROVIDERS)).groupBy("login", domain.alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    modal = counts.groupBy("login").agg(F.min(F.struct((-F.col("_n")).alias("o"), "_d")).alias("_m")).select("login", text.affiliation(F.col("_m._d")).alias("_e"))
+    return out.join(modal, "login", "left").select("login", F.coalesce("_c", "_e", F.lit("unknown")).alias("affiliation"))
+
+
+def affiliations(prs: DataFrame, people: DataFrame, emails: DataFrame | None = None) -> DataFrame:
     """``contrib_affiliation``, ``inte_affiliation`` and ``same_affiliation`` (null unless both are known); people (login, company)."""
-    who = people.select("login", text.affiliation(F.col("company")).alias("_a"))
-    out = prs.join(who.select(F.col("login").alias("user"), F.col("_a").alias("contrib_affiliation")), "user", "left")
-    out = out.join(who.select(F.col("login").alias("merged_by"), F.col("_a").alias("inte_affiliation")), "merged_by", "left")
-    return out.select(F.col("id").alias("pr_id"), "contrib_affiliation", "inte_affiliation", (F.col("contrib_affiliation") == F.col("inte_affiliation")).alias("same_affiliation"))
+    who = affiliation_of(people, emails)
+    out = prs.join(who.select(F.col("login").alias("user"), F.col("affiliation").alias("contrib_affiliation")), "user", "left")
+    out = out.join(who.select(F.col("login").alias("merged_by"), F.col("affiliation").alias("inte_affiliation")), "merged_by", "left")
+    known = lambda c: F.nullif(F.col(c), F.lit("unknown"))
+    return out.select(F.col("id").alias("pr_id"), "contrib_affiliation", "inte_affiliation", (known("contrib_affiliation") == known("inte_affiliation")).alias("same_affiliation"))
 
 
 def author_facts(prs: DataFrame, users: DataFrame, repos: DataFrame | None = None) -> DataFrame:
@@ -228,8 +256,8 @@ def external_share(prs: DataFrame, days: int = 90) -> DataFrame:
 
 def commits_on_files(prs: DataFrame, details: DataFrame, history_: DataFrame, days: int = 90) -> DataFrame:
     """Commits (repo_id, filename, sha, at) of the ``days`` before on the files that the pull request touches."""
-    touched = prs.join(details.select(F.col("pr_id").alias("id"), "filename").distinct(), "id").withColumn("_k", F.concat_ws("\u0001", "repo_id", "filename"))
-    acts = history_.withColumn("_k", F.concat_ws("\u0001", "repo_id", "filename"))
+    touched = prs.join(details.select(F.col("pr_id").alias("id"), "filename").distinct(), "id").withColumn("_k", _pair("repo_id", "filename"))
+    acts = history_.withColumn("_k", _pair("repo_id", "filename"))
     per_file = rolling_distinct(acts, touched, "_k", "at", "created_at", "sha", days, "_n")
     return with_default(prs, per_file.groupBy(F.col("id").alias("pr_id")).agg(F.sum("_n").alias("commits_touched")), "commits_touched", 0)
 
@@ -260,7 +288,7 @@ def counts_of(prs: DataFrame, table: DataFrame, name: str, distinct: str | None
 def vocabulary(texts: DataFrame, column: str, n: tuple[int, ...] = (2, 3), least: int = 5, most: float = 0.95) -> DataFrame:
     """N-grams with the number of texts that hold them (``df``), pruned below ``least`` texts and above a share of ``most``."""
     tokens = text.words(F.lower(F.col(column)))
-    grams = texts.select(F.explode(F.array_distinct(F.flatten(F.array(*[text.ngrams(tokens, k) for k in n])))).alias("gram"))
+    grams = texts.select(F.explode(F.array_distinct(text.ngrams(tokens, *n))).alias("gram"))
     total = texts.count()
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= least) & (F.col("df") <= most * total))
 
@@ -270,7 +298,7 @@ def tf_idf(texts: DataFrame, key: str, column: str, n: tuple[int, ...] = (2, 3),
     vocab = vocabulary(texts, column, n, least, most)
     total = texts.count()
     tokens = text.words(F.lower(F.col(column)))
-    tf = texts.select(key, F.explode(F.flatten(F.array(*[text.ngrams(tokens, k) for k in n]))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
+    tf = texts.select(key, F.explode(text.ngrams(tokens, *n)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
     return tf.join(vocab, "gram").select(key, "gram", "tf", (F.col("tf") * (F.log((F.lit(1.0) + total) / (F.col("df") + 1)) + 1)).alias("tf_idf"))
 
 

@@ -27,10 +27,11 @@ def top_n(df: DataFrame, column: str, n: int, first: str) -> DataFrame:
 
 
 def top_n_other(df: DataFrame, column: str, n: int, first: str) -> DataFrame:
-    """The ``n`` most frequent values, all others as ``Other``."""
+    """The ``n`` most frequent values, all others as ``Other (k codes)`` with the number of different ones."""
     top = F.broadcast(top_n(df, column, n, first).select(F.col(column).alias("_top")))
     joined = df.where(F.col(column).isNotNull()).join(top, F.col(column) == F.col("_top"), "left")
-    return joined.groupBy(F.coalesce("_top", F.lit("Other")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    counts = joined.groupBy("_top", column).agg(F.count(F.lit(1)).alias("n")).groupBy("_top").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("n"))
+    return counts.select(F.coalesce(F.col("_top").cast("string"), F.concat(F.lit("Other ("), F.col("_k").cast("string"), F.lit(" codes)"))).alias("label"), "n")
 
 
 def median_by(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -38,17 +39,22 @@ def median_by(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.median(value).alias("median"), F.count(value).alias("n"))
 
 
-def nearest_rank(df: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.25, 0.75, 0.9)) -> DataFrame:
+def nearest_rank(df: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.25, 0.75, 0.9), buckets: int = 64) -> DataFrame:
     """Values at the places ``min(int(n * p), n - 1)`` of each key's sorted values, with ``n``.
 
-    Equal values are counted first and ranks come from running counts, so no key's values are gathered in one row.
+    Equal values are counted first. Ranks are running counts over a key's buckets, cut at approximate quantiles of its
+    values, and inside each bucket, so no task gathers or sorts all values of a key.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(key)
-    run = counts.withColumns({"_hi": F.sum("_c").over(w.orderBy("_v")), "_n": F.sum("_c").over(w)})
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    edges = counts.groupBy(F.col("_k").alias("_e_k")).agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 1000).alias("_e"))
+    work = counts.join(edges, F.col("_k").eqNullSafe(F.col("_e_k"))).select("_k", "_v", "_c", F.size(F.filter("_e", lambda e: e < F.col("_v"))).alias("_b"))
+    w = Window.partitionBy("_k")
+    totals = work.groupBy("_k", "_b").agg(F.sum("_c").alias("_s"))
+    totals = totals.select(F.col("_k").alias("_t_k"), F.col("_b").alias("_t_b"), F.coalesce(F.sum("_s").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_p"), F.sum("_s").over(w).alias("_n"))
+    run = work.withColumn("_in", F.sum("_c").over(Window.partitionBy("_k", "_b").orderBy("_v"))).join(totals, F.col("_k").eqNullSafe(F.col("_t_k")) & (F.col("_b") == F.col("_t_b"))).withColumn("_hi", F.col("_p") + F.col("_in"))
     place = lambda p: F.least((F.col("_n") * F.lit(float(p))).cast("long"), F.col("_n") - 1)
     at = lambda p: F.max(F.when((F.col("_hi") > place(p)) & (F.col("_hi") - F.col("_c") <= place(p)), F.col("_v")))
-    return run.groupBy(key).agg(F.max("_n").alias("n"), *[at(p).alias(f"p{round(p * 100)}") for p in shares])
+    return run.groupBy(F.col("_k").alias(key)).agg(F.max("_n").alias("n"), *[at(p).alias(f"p{round(p * 100)}") for p in shares])
 
 
 def log_histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 24, floor: float = 0.05) -> DataFrame:
@@ -94,15 +100,21 @@ def above_own_percentile(df: DataFrame, key: str, value: str, p: float, name: st
 def modal(df: DataFrame, key: str, value: str) -> DataFrame:
     """The most frequent value of each key; ties go to the smallest."""
     counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.groupBy(key).agg(F.max_by(value, F.struct("_n")).alias("_any"), F.min(F.struct((-F.col("_n")).alias("o"), F.col(value).alias("v"))).alias("_m")).select(key, F.col("_m.v").alias(value))
+    return counts.groupBy(key).agg(F.min(F.struct((-F.col("_n")).alias("o"), F.col(value).alias("v"))).alias("_m")).select(key, F.col("_m.v").alias(value))
 
 
 def bus_factor(df: DataFrame, key: str, person: str, share: float = 0.5) -> DataFrame:
-    """The fewest people of each key who together made at least ``share`` of its rows."""
-    counts = df.groupBy(key, person).agg(F.count(F.lit(1)).alias("_n"))
+    """The fewest people of each key who together made at least ``share`` of its rows.
+
+    People with equally many rows are counted together, so a running sum passes over a key's different numbers of rows
+    (at most about the root of its rows), not over its people.
+    """
+    counts = df.groupBy(key, person).agg(F.count(F.lit(1)).alias("_n")).groupBy(key, "_n").agg(F.count(F.lit(1)).alias("_m"))
     w = Window.partitionBy(key)
-    run = counts.withColumns({"_run": F.sum("_n").over(w.orderBy(F.desc("_n"), person).rowsBetween(Window.unboundedPreceding, -1)), "_t": F.sum("_n").over(w)})
-    return run.groupBy(key).agg(F.count_if(F.coalesce("_run", F.lit(0)) < F.col("_t") * F.lit(share)).alias("bus_factor"))
+    rows = F.col("_n") * F.col("_m")
+    run = counts.withColumns({"_run": F.coalesce(F.sum(rows).over(w.orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_t": F.sum(rows).over(w)})
+    need = F.least(F.col("_m"), F.ceil((F.col("_t") * F.lit(share) - F.col("_run")) / F.col("_n")))
+    return run.groupBy(key).agg(F.sum(F.greatest(need, F.lit(0))).cast("long").alias("bus_factor"))
 
 
 def composition(df: DataFrame, period: str, category: str) -> DataFrame:

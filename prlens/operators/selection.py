@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 
 
 def first_in_group(df: DataFrame, key: str, order: list[str], flag: str = "is_first") -> DataFrame:
-    """``df`` with a flag on the first row of each key; rows without a key are never first.
+    """``df`` with a flag on the first row of each key, nulls last; rows without a key are never first.
 
-    The first row is found by an aggregation, which combines before the shuffle, and joined back.
+    The first row is found by an aggregation, which combines before the shuffle, and joined back. Rows that tie in all
+    order columns are told apart by a hash of the row; only rows equal in all columns are flagged together.
     """
-    names = [f"_o{i}" for i in range(len(order))]
-    first = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(*[F.col(c).alias(n) for c, n in zip(order, names, strict=True)])).alias("_m"))
-    same = F.struct(*[F.col(c).alias(n) for c, n in zip(order, names, strict=True)]) == F.col("_m")
-    return df.join(first, df[key] == first["_k"], "left").withColumn(flag, F.coalesce(same, F.lit(False))).drop("_k", "_m")
+    place = F.struct(*[x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"_n{i}"), F.col(c).alias(f"_o{i}"))], F.xxhash64(*df.columns).alias("_h"))
+    first = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(place).alias("_m"))
+    return df.join(first, df[key] == first["_k"], "left").withColumn(flag, F.col("_k").isNotNull() & place.eqNullSafe(F.col("_m"))).drop("_k", "_m")
 
 
 def pr_table(candidates: DataFrame, prs: DataFrame) -> DataFrame:
-    """Pull requests of candidate repositories with the repository's columns and ``is_intervention_pr``."""
+    """Pull requests of candidate repositories with the repository's columns and ``is_intervention_pr``, in order of repository and time."""
     c = candidates.withColumnRenamed("id", "repo_id")
     mine = prs.join(c.select("repo_id").distinct(), "repo_id", "left_semi")
     mine = mine.join(c.select("repo_id", *[x for x in ("full_name", "language", "stars") if x in c.columns]).dropDuplicates(["repo_id"]), "repo_id", "left")
-    return first_in_group(mine, "repo_id", ["created_at", "id"], "is_intervention_pr")
+    return first_in_group(mine, "repo_id", ["created_at", "id"], "is_intervention_pr").orderBy("repo_id", "created_at", "id")
 
 
 def repo_summary(table: DataFrame) -> DataFrame:

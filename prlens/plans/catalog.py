@@ -49,10 +49,8 @@ _CLOSED = "(SELECT o.o_orderkey AS id, o.o_custkey AS repo_id, o.o_orderstatus A
 )
 def filter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pull requests joined to repositories and users, filtered by state, stars, language and agent."""
-    prs = pull_requests(spark, sf_dir).withColumnRenamed("user_id", "_u").withColumn("user_id", F.col("_u")).drop("_u")
-    users = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("login"))
-    df = prs.join(repositories(spark, sf_dir).withColumnRenamed("id", "rid"), F.col("repo_id") == F.col("rid"), "left").join(users.withColumnRenamed("id", "uid"), F.col("owner") == F.col("uid"), "left")
-    return df.where((F.col("state") == "F") & (F.col("stars") >= 100) & F.col("language").isin("BUILDING", "MACHINERY") & F.col("agent").isin("1-URGENT", "2-HIGH")).select("id")
+    prs, repos = pull_requests(spark, sf_dir).where("state = 'F'"), repositories(spark, sf_dir)
+    return filters.filter_prs(prs, repos, rejected=False, star_minimum=100, language="BUILDING, MACHINERY", agents=["1-URGENT", "2-HIGH"], english_title=False, require_body=False)
 
 
 @query(f"SELECT o_orderkey AS id, date_diff('microsecond', o_orderdate, TIMESTAMP '{NOW}') // 86400000000 AS age FROM orders WHERE date_diff('microsecond', o_orderdate, TIMESTAMP '{NOW}') // 86400000000 BETWEEN 365 AND 1460")
@@ -64,17 +62,19 @@ def age_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SELECT doc_id FROM (SELECT doc_id, length(regexp_replace(t, '[^\\p{L}]', '', 'g')) AS l, length(regexp_replace(t, '[^\\p{Latin}]', '', 'g')) AS k "
-    "FROM (SELECT doc_id, text AS t FROM documents)) WHERE l = 0 OR (l - k) / l <= 0.3"
+    "FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Привет, ' || substr(text, 1, 9) ELSE text END AS t FROM documents)) WHERE l = 0 OR (l - k) / l <= 0.3"
 )
 def english_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with mostly Latin letters."""
-    return table(spark, sf_dir, "documents").where(text.english_title(F.col("text"))).select("doc_id")
+    """Documents with mostly Latin letters; every fourth begins with another script and is cut short."""
+    t = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Привет, "), F.substring("text", 1, 9))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").where(text.english_title(t)).select("doc_id")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '[^\\s\\p{Z}\\x{1c}-\\x{1f}\\x{85}]')")
+@query("SELECT conv_id, turn FROM conversations WHERE turn % 3 <> 1 AND regexp_matches(text, '[^\\s\\p{Z}\\x{1c}-\\x{1f}\\x{85}]')")
 def nonblank_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns that are not blank."""
-    return table(spark, sf_dir, "conversations").where(~text.is_blank(F.col("text"))).select("conv_id", "turn")
+    """Turns that are not blank; every third is made so."""
+    t = F.when(F.col("turn") % 3 == 1, F.lit(" \u00a0\u001c\n")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").where(~text.is_blank(t)).select("conv_id", "turn")
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[\\s\\p{Z}\\x{1c}-\\x{1f}\\x{85}]+'), lambda x: x <> ''))::BIGINT AS words FROM documents")
@@ -97,10 +97,10 @@ def repo_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.extract_repos(prs.where("state = 'P'").select("id"), prs, repositories(spark, sf_dir), ["id", "full_name", "language", "stars"])
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_linenumber = 1)")
 def todo_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that were never returned, as work not done."""
-    done = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    """Parts that no first line returned, as work not done."""
+    done = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_linenumber = 1").select(F.col("l_partkey").alias("p_partkey"))
     return sinks.not_done(table(spark, sf_dir, "part").select("p_partkey", "p_name"), done, ["p_partkey"])
 
 
@@ -168,7 +168,7 @@ def frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.frequency(pull_requests(spark, sf_dir), "agent", [*PRIORITIES, "none"])
 
 
-@query("WITH t AS (SELECT l_partkey AS v, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY 1 ORDER BY n DESC, f LIMIT 10) SELECT coalesce(t.v::VARCHAR, 'Other') AS label, count(*) AS n FROM lineitem LEFT JOIN t ON l_partkey = t.v GROUP BY 1")
+@query("WITH t AS (SELECT l_partkey AS v, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY 1 ORDER BY n DESC, f LIMIT 10) SELECT coalesce(v::VARCHAR, 'Other (' || count(DISTINCT l_partkey) || ' codes)') AS label, count(*) AS n FROM lineitem LEFT JOIN t ON l_partkey = t.v GROUP BY v")
 def top_n_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most frequent parts, the rest as Other."""
     df = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("v"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("f"))

@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
-from prlens.plans import catalog  # noqa: E402
+from prlens.plans import catalog, metrics_catalog  # noqa: E402, F401
 
 
 @pytest.fixture(scope="module")

@@ -173,3 +173,89 @@ def test_cli(spark, tmp_path):
     cli.main(["filter", "--prs", str(tmp_path / "prs"), "--repos", str(tmp_path / "repos"), "--star-minimum", "500", "--language", "Python, C#", "--out", str(tmp_path / "out")])
     (found,) = (tmp_path / "out").iterdir()
     assert found.name.endswith("-500-pycsharp-deadlinks-1.csv")
+
+
+def test_history_keeps_rows_without_key_or_time(spark):
+    rows = [(1, 10, "2024-01-01", "2024-01-02"), (2, 10, "2024-01-03", None), (3, None, "2024-01-03", "2024-01-04"), (4, None, "2024-01-05", None), (5, 10, None, "2024-01-06"), (6, 10, None, None), (7, 11, "2024-01-01", "2024-01-01")]
+    df = spark.createDataFrame(rows, "id long, k long, a string, b string").selectExpr("id", "k", "CAST(a AS timestamp) AS a", "CAST(b AS timestamp) AS b")
+    assert {r["id"]: r["prior_count"] for r in joins.prior_count(df, "k", "a").collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0}
+    assert {r["id"]: r["open_count"] for r in joins.open_at(df, "k", "a", "b").collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0}
+    assert {r["id"]: r["success_rate"] for r in joins.success_before(df, "k", "a", "b", F.lit(True)).collect()} == {1: None, 2: 1.0, 3: None, 4: None, 5: None, 6: None, 7: None}
+    seen = joins.rolling_distinct(df.where("a IS NOT NULL"), df, "k", "a", "a", "id", 90)
+    assert {r["id"]: r["distinct_count"] for r in seen.collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0}
+    at = joins.asof_backward(df.select("id", "k", F.col("a").alias("t")), df.select("k", "a", F.col("id").alias("v")), "k", "t", "a", ["v"])
+    assert {r["id"]: r["v"] for r in at.collect()} == {1: 1, 2: 2, 3: None, 4: None, 5: None, 6: None, 7: 7}
+
+
+def test_rolling_distinct_equals_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    events = [(rng.randrange(3), rng.randrange(4), rng.randrange(400)) for _ in range(200)]
+    points = [(i, rng.randrange(3), rng.randrange(500)) for i in range(120)]
+    day = "timestamp_seconds(d * 86400)"
+    e = spark.createDataFrame(events, "k int, v int, d int").selectExpr("k", "v", f"{day} AS t")
+    p = spark.createDataFrame(points, "id int, k int, d int").selectExpr("id", "k", f"{day} AS t")
+    got = {r["id"]: r["n"] for r in joins.rolling_distinct(e, p, "k", "t", "t", "v", 90, "n").collect()}
+    assert got == {i: len({v for k2, v, d2 in events if k2 == k and d - 90 <= d2 < d}) for i, k, d in points}
+
+
+def test_first_in_group_with_nulls_and_ties(spark):
+    df = spark.createDataFrame([(1, 5, None, "x"), (2, 5, 2, "y"), (3, 6, None, "z"), (4, 7, 1, "a"), (5, 7, 1, "b"), (6, None, 1, "c")], "id int, k int, o int, w string")
+    got = {r["id"]: r["is_first"] for r in selection.first_in_group(df, "k", ["o"]).collect()}
+    assert got[2] and not got[1] and got[3] and got[4] != got[5] and not got[6]
+
+
+def test_fixed_patterns(spark):
+    names = {"src/TestFoo.java": True, "FooTestCase.java": True, "tests/a.py": True, "spec/a.rb": True, "a_test.go": True, "x.test.js": True, "__tests__/x.js": False, "test_x.py": False, "src/latest.py": False}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r["n"]: r["t"] for r in df.select("n", F.col("n").rlike(text.TEST_FILE).alias("t")).collect()} == names
+    assert [r[0] for r in df.where("n IN ('a_test.go', 'spec/a.rb')").orderBy("n").select(metrics_code.language_of(F.col("n"))).collect()] == ["Go", "Ruby"]
+
+
+def test_class_hierarchy(spark):
+    src = "class A: pass\nclass B(A):\n    def f(self):\n        return A()\nclass C(B, Outside): pass\nclass D(Outside): pass\nclass E(E): pass\n"
+    m = metrics_code.file_metrics(spark.createDataFrame([("s", src), ("t", "class A(B): pass\n")], "snap string, text string"), ["snap"])
+    got = {(r["snap"], r["name"]): (r["dit"], r["fan_in"]) for r in metrics_code.class_hierarchy(m, ["snap"]).collect()}
+    assert got == {("s", "A"): (0, 1), ("s", "B"): (1, 0), ("s", "C"): (2, 0), ("s", "D"): (1, 0), ("s", "E"): (1, 0), ("t", "A"): (1, 0)}
+
+
+def test_reports_and_names(spark):
+    df = spark.range(3)
+    assert sinks.report({"Ids": df}, "Report").startswith("# Report\n\n## Ids\n\n| id |")
+    with pytest.raises(ValueError):
+        sinks.markdown_table(df, 2)
+    with pytest.raises(TypeError):
+        sinks.descriptor(stars=3)
+    assert sinks.descriptor(agents=["Claude_Code", "Devin"], require_live_url=False, age_minimum=0) == "claudecodedevin-amin0-deadlinks"
+    tags = spark.createDataFrame([("C++",), (" Python ",), ("Objective-C",)], "l string")
+    assert [r[0] for r in tags.select(text.language_tag(F.col("l"))).collect()] == [sinks.language_tag(x) for x in ("C++", " Python ", "Objective-C")]
+
+
+def test_eligible_and_faults(spark):
+    m = spark.createDataFrame([("o/a", "A1", ts("2024-01-01T00:00:00"), "x", False), ("o/b", "A1", ts("2024-01-01T00:00:00"), None, True), ("p/c", "A2", ts("2024-01-01T00:00:00"), "y", False)], "full_name string, track string, target_date timestamp, commit_sha string, no_prior_commit boolean")
+    assert [r["full_name"] for r in timegrid.eligible(m).collect()] == ["o/a", "p/c"]
+    assert [r["full_name"] for r in timegrid.eligible(m, "^p/").collect()] == ["p/c"] and timegrid.eligible(m, limit=1).count() == 1
+    have = spark.createDataFrame([("o/a",)], "full_name string")
+    assert {r["full_name"]: r["error"] for r in faults.require_present(m, have, "full_name", "gone").collect()} == {"o/a": None, "o/b": "gone", "p/c": "gone"}
+    urls = spark.createDataFrame([("u1",), ("u2",), (None,)], "url string")
+
+    def probe(url):
+        if url == "u2":
+            raise OSError
+        return 404
+
+    assert {r["url"]: r["status"] for r in filters.probe_urls(urls, probe).collect()} == {"u1": 404, "u2": None}
+
+
+def test_findings_and_versions(spark, tmp_path):
+    (tmp_path / "f.json").write_text('[{"rule": "r", "line": 3}, {"rule": "q", "line": "no"}]')
+    got = readers.read_findings(spark, f"file://{tmp_path}/f.json", "rule string, line int").collect()
+    assert {r["rule"]: r["line"] for r in got} == {"r": 3, "q": None}
+    spark.range(5).write.parquet(f"file://{tmp_path}/t")
+    df = spark.read.parquet(f"file://{tmp_path}/t")
+    assert readers.dataset_version(df).first()["files"] == len(df.inputFiles()) and "source_file" in readers.with_lineage(df).columns
+    sinks.write_snapshots(spark.createDataFrame([("o/a", "s1", 1)], "repo string, commit_sha string, v int"), f"file://{tmp_path}/snap")
+    assert (tmp_path / "snap").exists() and sinks.safe_name("o/a") == "o__a"
+    ok, bad = sinks.split_errors(spark.createDataFrame([(1, None), (2, "x")], "id int, error string"))
+    assert ok.count() == bad.count() == 1
