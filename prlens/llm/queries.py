@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prlens.llm import oracles
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -80,8 +82,8 @@ def op8_prefix_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles are similar to 85 per cent."""
     from prlens.llm.jaccard import near_duplicate_groups
 
-    return near_duplicate_groups(_read(spark, sf_dir, "documents"))
+    return near_duplicate_groups(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_line_block_extraction, op7_jump_hash_sharding, op2_attention_quality, op5_noisy_channel_toxicity, op9_disclosure_sanitisation, op10_raked_mixing, op4_voronoi_topk, op3_bm25_decontamination, op6_suffix_dedup, op8_prefix_tree_jaccard)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_voronoi_topk": oracles.OP4, "op7_jump_hash_sharding": oracles.OP7, "op8_prefix_tree_jaccard": oracles.OP8}

@@ -48,6 +48,12 @@ def jump_state(key: Column, n_shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(n_shards)), start, step)
 
 
+def _sub_shard(key: Column) -> Column:
+    """The sum of a key's bytes modulo ``SUBSHARDS``: also spreads keys that are equal in their low bits."""
+    parts = [F.shiftrightunsigned(key, 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
+    return F.pmod(sum(parts[1:], parts[0]), F.lit(SUBSHARDS)).cast("int")
+
+
 def shard_documents(df: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``key``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard`` and the columns in ``keep``.
 
@@ -61,7 +67,7 @@ def shard_documents(df: DataFrame, n_shards: int, key: str = "doc_id", text: str
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         state.alias("_s"),
-        F.pmod(F.xxhash64(key), F.lit(SUBSHARDS)).cast("int").alias("_sub"),
+        _sub_shard(F.coalesce(F.col(key).cast("long"), F.lit(0))).alias("_sub"),
     ).select("*", F.col("_s.b").cast("int").alias("shard"), F.when(F.col("_s.j") == n_shards, n_shards).otherwise(F.col("_s.b")).cast("int").alias("grown_shard")).drop("_s")
     counts = slim.groupBy("shard", "_sub").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
