@@ -1,22 +1,27 @@
 """Main-text extraction by line-block distribution.
 
-A page is cut into blocks (the text between block-level tags), one line each.
-A line's weight is the number of characters that count as running text: none for
-menus, headers, footers, sidebars, notices, adverts, forms and comments, nor for
-link text. Weights are summed over sliding windows of lines; a window whose sum
-rises from below the threshold is a surge point, one whose sum falls back to
-nothing is a dive point, and the text between them is the article.
+A page is cut into blocks (the text between block-level tags), one line each. Blocks
+that the page marks as menus, headers, footers, sidebars, notices, adverts, forms or
+comments are stripped with the markup. Each other line has a weight, the number of
+its characters that count as running text: link text does not, nor does text
+outside the article where the page marks one. Weights are summed over sliding
+windows of lines; a window whose sum rises from below the threshold is a surge
+point, one whose sum falls back to nothing is a dive point, and the text between
+them is the article, lines of links included.
 
 Defined results: null or empty html gives an empty text; a page without any
 running text gives an empty text; unclosed tags, comments and scripts end with
-the page; a tag cut off by the end of the page is dropped; repeated rows are
-extracted alike; an empty table gives an empty table.
+the page; a tag cut off by the end of the page is dropped; very long pages take
+time in proportion to their length; repeated rows are extracted alike; a kept
+column named ``text`` or ``n_chars`` gives way to the added one; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,21 +65,19 @@ _TAG = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|aria-hidden|itemprop|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-#: Elements that group blocks.
-_CONTAINERS = frozenset("div section article main body td center".split())
+_FORM = re.compile(r"<(/?)form(?=[\s/>])|<(?:article|main|p)(?=[\s/>])", re.I)
 #: Tags that end an open element of the same family, as HTML's implied end tags do.
 _P_CLOSERS = BLOCK_TAGS - {"body", "html", "head", "td", "th", "tr", "li", "dd", "dt", "caption", "option", "button", "iframe"} | {"li", "dd", "dt"}
 
 
 @dataclass(slots=True)
 class Line:
-    """One block: its text, its characters outside links, whether it lies in a noise or an article region, its container."""
+    """One block: its text, its characters outside links, whether it lies in a noise or an article region."""
 
     text: str
     plain: int
     noise: bool
     content: bool
-    container: int = 0
 
 
 def _hints(attrs: str, inside: bool) -> tuple[bool, bool]:
@@ -88,20 +91,35 @@ def _hints(attrs: str, inside: bool) -> tuple[bool, bool]:
             for name_ in value.split():
                 if _ABOUT_LAYOUT.match(name_):
                     continue
-                words = {t.lower() for word in re.split(r"[_\-:]+", name_) for t in (word, *_TOKEN.findall(word))}
+                parts = re.split(r"[_\-:]+", name_)
+                words = {t.lower() for word in (parts if len(parts) < 3 else (parts[0], parts[-1])) for t in (word, *_TOKEN.findall(word))}
                 noise = noise or bool(words & NOISE_WORDS - ({"header"} if inside else set()))
         elif name == "itemprop" and value.lower() in _CONTENT_WORDS:
             content = True
     return noise, content
 
 
+def running_forms(page: str) -> set[int]:
+    """Where the forms begin that hold paragraphs or an article: wrappers of a page's text, not controls."""
+    out: set[int] = set()
+    begin = -1
+    for m in _FORM.finditer(page):
+        if m[1] is None and begin >= 0:
+            out.add(begin)
+        elif m[1] is not None:
+            begin = -1 if m[1] else m.start()
+    return out
+
+
 def page_lines(page: str, hints: bool = True) -> list[Line]:
     """The blocks of a page in page order, empty ones left out; ``hints``: whether class names and ids mark regions."""
     lines: list[Line] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, noise here or above, article here or above
-    containers: list[tuple[int, int]] = []  # depth in the stack, number
-    links = opened = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, noise here or above, article here or above, marked inline element
+    open_tags: Counter = Counter()
+    ends: dict[str, int] = {}  # the last end tag of an inline element
+    bodies = running_forms(page)
+    links = muted = 0
 
     def flush() -> None:
         if parts:
@@ -109,27 +127,27 @@ def page_lines(page: str, hints: bool = True) -> list[Line]:
             if text:
                 noise, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
                 linked = sum(len(" ".join(_html.unescape(p).split())) for p, in_link in parts if in_link)
-                lines.append(Line(text, max(0, len(text) - linked), noise, content, containers[-1][1] if containers else 0))
+                lines.append(Line(text, max(0, len(text) - linked), noise, content))
             parts.clear()
 
     def close(k: int) -> None:
-        nonlocal links
-        for tag, _, _ in stack[k:]:
-            if tag in BLOCK_TAGS or tag in NOISE_TAGS:
-                flush()
-                break
-        links -= sum(tag == "a" for tag, _, _ in stack[k:])
+        nonlocal links, muted
+        if any(x[0] in BLOCK_TAGS or x[0] in NOISE_TAGS for x in stack[k:]):
+            flush()
+        for tag, _, _, silent in stack[k:]:
+            open_tags[tag] -= 1
+            links -= tag == "a"
+            muted -= silent
         del stack[k:]
-        while containers and containers[-1][0] >= k:
-            containers.pop()
 
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
-            parts.append((page[at:], links > 0))
+            if not muted:
+                parts.append((page[at:], links > 0))
             break
-        if m.start() > at:
+        if m.start() > at and not muted:
             parts.append((page[at : m.start()], links > 0))
         at = m.end()
         tag = (m[2] or "").lower()
@@ -138,13 +156,10 @@ def page_lines(page: str, hints: bool = True) -> list[Line]:
         if m[4] is not None and at == n:  # cut off by the end of the page
             break
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            else:
-                if tag in BLOCK_TAGS:
-                    flush()
+            if open_tags[tag]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
+            elif tag in BLOCK_TAGS:
+                flush()
             continue
         attrs = m[3] or ""
         if tag in RAW_TAGS:
@@ -159,7 +174,7 @@ def page_lines(page: str, hints: bool = True) -> list[Line]:
             continue
         if tag in BLOCK_TAGS:
             flush()
-            if tag in _P_CLOSERS:  # implied end of an open paragraph
+            if tag in _P_CLOSERS and open_tags["p"]:  # implied end of an open paragraph
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
                         close(k)
@@ -168,7 +183,7 @@ def page_lines(page: str, hints: bool = True) -> list[Line]:
                         break
             if tag in ("li", "dd", "dt", "option", "tr", "td", "th"):
                 same = {"dd", "dt"} if tag in ("dd", "dt") else {"td", "th"} if tag in ("td", "th") else {tag}
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if any(open_tags[x] for x in same) else ():
                     if stack[k][0] in same:
                         close(k)
                         break
@@ -176,30 +191,22 @@ def page_lines(page: str, hints: bool = True) -> list[Line]:
                         break
         if tag in VOID_TAGS:
             continue
-        above = stack[-1] if stack else ("", False, False)
+        above = stack[-1] if stack else ("", False, False, False)
         marked, body = _hints(attrs, above[2]) if hints and attrs.strip() else (False, False)
-        noise = above[1] or tag in NOISE_TAGS or (marked and tag not in _INLINE_HINT_OK) or (tag == "article" and marked and above[2])
+        noise = above[1] or (tag in NOISE_TAGS and m.start() not in bodies) or (marked and tag not in _INLINE_HINT_OK) or (tag == "article" and marked and above[2])
         noise = noise or (tag == "article" and bool(re.search(r"comment|reply|teaser|related|promo", attrs, re.I)))
         noise = noise or (tag == "header" and not above[2])
         content = above[2] or body or tag in ("article", "main")
-        if noise and not above[1] and tag not in BLOCK_TAGS and tag not in NOISE_TAGS:
-            # a marked inline element is dropped without ending the block around it
-            depth, pat = 1, re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
-            for e in pat.finditer(page, at):
-                depth += -1 if e[1] else 1
-                if not depth:
-                    at = e.end()
-                    break
-            else:
-                stack.append((tag, above[1], content))
-                links += tag == "a"
-            continue
-        if noise and not above[1]:
+        silent = noise and not above[1] and tag not in BLOCK_TAGS and tag not in NOISE_TAGS
+        if silent:  # a marked inline element is dropped without ending the block around it, if it ends at all
+            if tag not in ends:
+                ends[tag] = max((e.start() for e in re.finditer(rf"</{re.escape(tag)}(?=[\s/>])", page, re.I)), default=-1)
+            noise, silent = False, ends[tag] >= at
+        elif noise and not above[1]:
             flush()
-        if tag in _CONTAINERS:
-            opened += 1
-            containers.append((len(stack), opened))
-        stack.append((tag, noise, content))
+        stack.append((tag, noise or above[1], content, silent))
+        open_tags[tag] += 1
+        muted += silent
         links += tag == "a"
     flush()
     return lines
@@ -208,39 +215,32 @@ def page_lines(page: str, hints: bool = True) -> list[Line]:
 def main_lines(lines: list[Line], window: int = 3, surge: int = 80) -> list[int]:
     """Indices of the lines between the surge and the dive points.
 
-    ``window``: lines summed; ``surge``: characters a window needs to start a region, or the page's largest
-    window sum if that is smaller. Where the page marks its article, lines elsewhere have no weight and the
-    article's need no surge: the marks are exact already.
+    ``window``: lines summed; ``surge``: characters a window needs to start a region, or the page's largest window sum
+    if that is smaller. Marked noise is no line here, so it does not part a region. Where the page marks its article,
+    only the article's lines have weight, and all their text counts.
     """
-    marked = any(x.content and not x.noise and x.plain for x in lines)
-    weights = [0 if x.noise or (marked and not x.content) else x.plain if not marked else len(x.text) for x in lines]
+    at = [k for k, x in enumerate(lines) if not x.noise]
+    marked = any(lines[k].content and lines[k].plain for k in at)
+    weights = [(len(lines[k].text) if lines[k].content else 0) if marked else lines[k].plain for k in at]
     n = len(weights)
     sums = [sum(weights[i : i + window]) for i in range(n)]
-    need = 1 if marked else max(1, min(surge, max(sums, default=0)))
-    regions: list[tuple[int, int]] = []
-    i = 0
+    need = max(1, min(surge, max(sums, default=0)))
+    kept: list[int] = []
+    i = end = 0
     while i < n:
         if sums[i] < need:
             i += 1
             continue
-        start = i
-        while start > (regions[-1][1] if regions else 0) and weights[start - 1] > 0:
+        start = i  # a surge; lines of weight right before it belong to it
+        while weights[start] == 0:
+            start += 1
+        while start > end and weights[start - 1] > 0:
             start -= 1
         while i < n and sums[i] > 0:
             i += 1
-        regions.append((start, i))
-    kept = [k for start, end in regions for k in range(start, end) if weights[k] > 0]
-    if marked:
-        return kept
-    # blocks cut off from the surge by a region without weight stay only in the container of a surging run
-    runs: list[list[int]] = []
-    for k in kept:
-        if runs and runs[-1][-1] == k - 1:
-            runs[-1].append(k)
-        else:
-            runs.append([k])
-    strong = {lines[k].container for run in runs for k in run if sum(weights[j] for j in run) >= need}
-    return [k for run in runs for k in run if lines[k].container in strong or sum(weights[j] for j in run) >= need]
+        end = i  # the dive
+        kept += [k for k in range(start, end) if not marked or weights[k] > 0]
+    return [at[k] for k in kept]
 
 
 def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
@@ -258,6 +258,7 @@ def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
 def extract_main_text(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), window: int = 3, surge: int = 80) -> DataFrame:
     """``keep``, ``text`` and ``n_chars`` (code points) for every row; one pass, no shuffle."""
     small_batches(df.sparkSession)
+    keep = tuple(c for c in keep if c not in ("text", "n_chars"))
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

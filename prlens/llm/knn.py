@@ -1,17 +1,18 @@
 """Exact top-k search by inner product: a Voronoi join in blocks.
 
-Data and queries are grouped by pivots. Data of a Voronoi cell are packed into blocks, each with a summary: its
-pivot's number, its largest distance from the pivot, the largest norm. From the summaries of all blocks each
-query group derives a bound: a score that its k best are sure to reach. A block goes to a query group only if
-its own upper bound reaches that score for one of the group's queries. Each pair of a query group and a block is
+Data and queries are grouped by pivots, which are as many for small tables as for large ones. Data of a Voronoi cell are
+packed into blocks, each with a summary: its pivot's number and its largest distance from the pivot. From the summaries
+of the cells each query group derives a bound: a score that its k best are sure to reach. A block goes to a query group
+only if its own upper bound reaches that score for one of the group's queries. Each pair of a query group and a block is
 solved locally; the partial lists of a query are merged.
 
 For a query q, a pivot p and a vector s of p's cell: <q,p> - |q||s-p| <= <q,s> <= <q,p> + |q||s-p|.
 
 Defined results: null vectors, and vectors with null or non-finite components, take no part as query or
 candidate; a vector with fewer components than another counts as padded with zeros; equal vectors are separate
-candidates, ties go to the smaller id; rows that repeat an id count once per row, and a query never meets rows
-of its own id; an empty table gives an empty table.
+candidates, ties go to the smaller id; candidates that repeat an id count once per row, equal rows of a query once, and
+a query never meets rows of its own id; rows without an id take no part; other columns are not read; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -85,11 +86,11 @@ def _pack(df: DataFrame, pivots: np.ndarray, rows: int) -> DataFrame:
             ids = np.concatenate([i for i, _, _ in parts])
             far = max(float(r.max()) for _, _, r in parts)
             kind = np.int16 if np.abs(x).max(initial=0) < 32000 else np.int64
-            return c, far, ids.astype(np.int64).tobytes(), x.astype(kind).tobytes(), len(ids), d, float(np.sqrt((x**2).sum(1)).max())
+            return c, far, ids.astype(np.int64).tobytes(), x.astype(kind).tobytes(), len(ids), d
 
         def batch(blocks: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blocks, strict=True), kinds, strict=True)], names=["cell", "radius", "ids", "vectors", "n", "width", "norm"])
+            kinds = (pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blocks, strict=True), kinds, strict=True)], names=["cell", "radius", "ids", "vectors", "n", "width"])
 
         for b in batches:
             if not len(b):
@@ -105,7 +106,7 @@ def _pack(df: DataFrame, pivots: np.ndarray, rows: int) -> DataFrame:
         if open_:
             yield batch([block(c, parts) for c, parts in open_.items()])
 
-    return df.mapInArrow(run, "cell int, radius double, ids binary, vectors binary, n int, width int, norm double")
+    return df.mapInArrow(run, "cell int, radius double, ids binary, vectors binary, n int, width int")
 
 
 def _vectors(blob: bytes, n: int, width: int) -> np.ndarray:
@@ -123,13 +124,13 @@ def voronoi_topk(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "v
     if not len(pivots):
         return spark.createDataFrame([], schema)
     total, asked = rows.agg(F.count(F.lit(1)), F.count_if("_q")).first()
-    pivots = pivots[: max(1, total // BLOCK_ROWS)]
+    copies = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]  # a query may have to pass over so many rows of its own id
     # few small partitions are joined, so that blocks fill up; large inputs keep theirs
     data = written(_pack(rows.select("id", "v").coalesce(max(1, total // (4 * BLOCK_ROWS))), pivots, BLOCK_ROWS).withColumn("block", F.monotonically_increasing_id()), "knn-data")
     # queries near the same pivot share a group; there are fewer pivots for them, so that groups fill up
-    asking = rows.where("_q").select("id", "v").repartition(max(1, asked // (8 * GROUP_ROWS)), "id")
+    asking = rows.where("_q").select("id", "v").distinct().repartition(max(1, asked // (8 * GROUP_ROWS)), "id")
     near = written(_pack(asking, pivots[: max(1, asked // GROUP_ROWS)], GROUP_ROWS).withColumn("group", F.monotonically_increasing_id()), "knn-queries")
-    summary = data.groupBy("cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n"), F.max("norm").alias("norm")).orderBy("cell").collect()  # at most PIVOTS rows
+    summary = data.groupBy("cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n")).orderBy("cell").collect()  # at most PIVOTS rows
     blocks = data.select("block", "cell", "radius", "n")
     known = spark.sparkContext.broadcast((pivots, [(r["cell"], r["radius"], r["n"]) for r in summary]))
 
@@ -144,11 +145,11 @@ def voronoi_topk(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "v
                 a, pv = _same_width(q, p)
                 dots, norms = a @ pv[cell].T, np.sqrt((q**2).sum(1))
                 low = dots - norms[:, None] * radius[None]
-                # the score that k candidates besides the query itself reach for sure
+                # the score that k candidates besides the query's own rows reach for sure
                 order = np.argsort(-low, axis=1)
                 have = np.cumsum(count[order], axis=1)
-                enough = (have >= k + 1).argmax(1)
-                sure = np.where(have[:, -1] >= k + 1, low[np.arange(len(q)), order[np.arange(len(q)), enough]], -np.inf)
+                enough = (have >= k + copies).argmax(1)
+                sure = np.where(have[:, -1] >= k + copies, low[np.arange(len(q)), order[np.arange(len(q)), enough]], -np.inf)
                 need = ((sure[:, None] - dots) / np.maximum(norms, 1e-9)[:, None]).min(0) * (1 - _SLACK) - _SLACK
                 out += [(b.column("group")[i].as_py(), int(c), float(x)) for c, x in zip(cell, need, strict=True)]
             if out:
