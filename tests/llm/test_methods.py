@@ -34,7 +34,7 @@ def test_extraction_equals_a_plain_walk():
             self.out, self.part, self.skip, self.inside = [], "", 0, 0
 
         def end(self):
-            if self.part.split() and self.inside and not self.skip:
+            if self.part.split() and self.inside:
                 self.out.append(" ".join(self.part.split()))
             self.part = ""
 
@@ -51,11 +51,11 @@ def test_extraction_equals_a_plain_walk():
             self.skip -= tag in ("nav", "aside", "script")
 
         def handle_data(self, data):
-            self.part += data
+            self.part += "" if self.skip else data
 
     gen = np.random.default_rng(6)
     for _ in range(60):
-        blocks = []
+        blocks = ["<p>" + "begin " * 12 + "</p>"]
         for _ in range(int(gen.integers(1, 9))):
             words = " ".join(f"w{gen.integers(0, 50)}" + ("&amp;" if gen.random() < 0.1 else "") for _ in range(int(gen.integers(15, 40))))
             kind = gen.choice(["p", "h2", "aside", "ul", "div"])
@@ -97,3 +97,53 @@ def test_many_cells_and_repeated_ids(spark, monkeypatch):
         best = sorted((-int(s), int(i)) for s, i in zip(score, ids, strict=True) if i != q)[:5]
         want += [(q, k + 1, j, -s) for k, (s, j) in enumerate(best)]
     assert got == want
+
+
+def test_raking_holds_margins_within_bounds(spark, monkeypatch):
+    """Expected tokens of the sample meet all margins, no probability passes 1, and both ways of raking agree with a plain one."""
+    from prlens.llm import mixing
+
+    gen = np.random.default_rng(5)
+    rows = [(f"s{a}", f"l{b}", f"t{c}", float(gen.integers(1, 1000) * (50 if a == 0 else 1))) for a in range(5) for b in range(3) for c in range(4) if gen.random() < 0.9]
+    cells = spark.createDataFrame(rows, "s string, l string, t string, tokens double")
+    margins = ("s", "l", "t")
+    total = sum(r[3] for r in rows)
+    target = {}
+    for k, m in enumerate(margins):
+        raised = {v: sum(r[3] for r in rows if r[k] == v) ** 0.5 for v in {r[k] for r in rows}}
+        target[m] = {v: x / sum(raised.values()) for v, x in raised.items()}
+    rate = min([0.5, *(sum(r[3] for r in rows if r[k] == v) / (share * total) for k, m in enumerate(margins) for v, share in target[m].items())])
+    p = {r[:3]: 1.0 for r in rows}
+    for _ in range(3000):  # plain: each value in turn is scaled by what it misses
+        for k, m in enumerate(margins):
+            for v, share in target[m].items():
+                have = sum(r[3] * min(1.0, p[r[:3]]) for r in rows if r[k] == v)
+                for key in p:
+                    if key[k] == v:
+                        p[key] *= share * rate * total / have
+    results = []
+    for most in (mixing.ARRAY_CELLS, 0):
+        monkeypatch.setattr(mixing, "ARRAY_CELLS", most)
+        got = {(r["s"], r["l"], r["t"]): r["probability"] for r in mixing.rake(cells, margins, close=1e-4).collect()}
+        results.append(got)
+        assert max(got.values()) <= 1 and sum(x > 0.999 for x in got.values()) > 0
+        for k, m in enumerate(margins):
+            for v, share in target[m].items():
+                have = sum(r[3] * got[r[:3]] for r in rows if r[k] == v)
+                assert abs(have / (share * rate * total) - 1) < 1e-3, (m, v)
+        assert all(abs(got[key] - min(1.0, x)) < 5e-3 for key, x in p.items())
+    assert all(abs(results[0][k] - results[1][k]) < 1e-3 for k in results[0])
+
+
+def test_sample_keeps_to_its_probabilities(spark):
+    from prlens.llm.mixing import mix_documents, mix_report
+
+    gen = np.random.default_rng(9)
+    rows = [(i, "word " * int(gen.integers(1, 30)), ["a", "b", "c"][int(gen.choice(3, p=[0.8, 0.15, 0.05]))], ["x", "y"][i % 2], str(i % 3)) for i in range(6000)]
+    out = mix_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, _topic string")).cache()
+    drawn, wanted = out.selectExpr("sum(IF(selected, n_tokens, 0))", "sum(n_tokens * probability)").first()
+    assert abs(drawn / wanted - 1) < 0.05
+    again = {r["doc_id"] for r in mix_documents(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string, lang string, _topic string")).where("selected").collect()}
+    assert again == {r["doc_id"] for r in out.where("selected").collect()}
+    for r in mix_report(out, {"source": "source", "lang": "lang"}).collect():
+        assert abs(r["expected_share"] - r["target_share"]) < 2e-3 and abs(r["sample_share"] - r["expected_share"]) < 0.04
