@@ -5,8 +5,8 @@ are candidates. Each becomes a lattice of characters: what every sign may stand
 Viterbi search under a character trigram model, counted over all texts of the corpus, picks the likeliest plain
 word. The restored text is scored by a logistic model over word beginnings learned from labelled rows.
 
-Defined results: null and empty texts are scored like texts without any known word beginning; a null id is held
-out and scored; repeated rows get equal scores; without labelled rows of both kinds the score is the share of
+Defined results: null and empty texts are scored like texts without any known word beginning; very long texts and very
+long candidates are read as a whole; kept columns give way to added ones of their names; a null id is held out and scored; repeated rows get equal scores; without labelled rows of both kinds the score is the share of
 label 1 (0.5 without any); an empty table gives an empty table.
 """
 
@@ -54,8 +54,8 @@ _INDEX = {c: k for k, c in enumerate(" " + _LETTERS)}
 _CLASS = np.zeros(256, np.int64)
 for _k, _c in enumerate(_LETTERS, 1):
     _CLASS[ord(_c)] = _CLASS[ord(_c.upper())] = _k
-#: Longer candidates are decoded in stretches of this many signs.
-STRETCH = 48
+#: Signs of a candidate that a task remembers; longer ones are decoded each time.
+REMEMBERED = 64
 #: Characters of word beginnings that are features, and whole words.
 PREFIXES = (4, 5, 6)
 _KIND = np.zeros(1 << 16, np.uint8)  # by character: 1 letter, 2 sign, 4 spacer, 8 mark inside a word
@@ -144,20 +144,14 @@ class CharModel:
         return cls(np.log(0.8 * tri + 0.15 * bi[None] + 0.05 * uni[None, None]).ravel().tolist())
 
     def decode(self, signs: str) -> str:
-        """The likeliest plain word of a candidate, by Viterbi search over its lattice."""
+        """The likeliest plain word of a candidate, by Viterbi search over its whole lattice; time and memory grow with its length."""
         log = self.log
-        # state: the last two letters -> (log probability, word so far)
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # state: the last two letters -> (log probability, what was read before and here)
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for m in _RUN.finditer(signs):
-            sign, run = m[1], len(m[0])
-            letters = [(sign, 0.0)] if sign in _INDEX and sign != " " else [(x, SUBSTITUTED) for x in LOOK_ALIKES.get(sign, "")]
-            options = [("", (PUT_IN_SIGN if letters else PUT_IN_SPACER) * min(run, 2))] if not letters or sign not in _INDEX else []
-            for x, cost in letters:
-                options.append((x, cost + (0 if run == 1 else DOUBLED if run == 2 else DRAWN_OUT)))
-                if run > 1:
-                    options.append((x + x, cost + (0 if run == 2 else DRAWN_OUT - 1)))
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (p, word) in states.items():
+            options = readings(m[1], len(m[0]))
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (p, path) in states.items():
                 for text, cost in options:
                     q, u, v = p + cost, a, b
                     for x in text:
@@ -165,9 +159,26 @@ class CharModel:
                         q += log[(u * _N + v) * _N + k] + PER_LETTER
                         u, v = v, k
                     if (u, v) not in after or after[u, v][0] < q:
-                        after[u, v] = (q, word + text)
+                        after[u, v] = (q, (path, text) if text else path)
             states = after
-        return max(((p + log[(a * _N + b) * _N], word) for (a, b), (p, word) in states.items()), default=(0.0, ""))[1]
+        path = max((p + log[(a * _N + b) * _N], k) for k, ((a, b), (p, _)) in enumerate(states.items()))[1]
+        path = list(states.values())[path][1]
+        out = []
+        while path is not None:
+            path, text = path
+            out.append(text)
+        return "".join(reversed(out))
+
+
+def readings(sign: str, run: int) -> list[tuple[str, float]]:
+    """What a sign that stands ``run`` times in a row may be read as, with the channel's log probabilities."""
+    letters = [(sign, 0.0)] if sign in _INDEX and sign != " " else [(x, SUBSTITUTED) for x in LOOK_ALIKES.get(sign, "")]
+    options = [("", (PUT_IN_SIGN if letters else PUT_IN_SPACER) * min(run, 2))] if not letters or sign not in _INDEX else []
+    for x, cost in letters:
+        options.append((x, cost + (0 if run == 1 else DOUBLED if run == 2 else DRAWN_OUT)))
+        if run > 1:
+            options.append((x + x, cost + (0 if run == 2 else DRAWN_OUT - 1)))
+    return options
 
 
 class Restorer:
@@ -181,9 +192,8 @@ class Restorer:
         if got is None and sum(c.isalpha() for c in signs) < 2:
             return signs
         if got is None:
-            parts = [signs[i : i + STRETCH] for i in range(0, len(signs), STRETCH)]
-            got = "".join(self.model.decode(x) for x in parts)
-            if len(self.known) < self.remember:
+            got = self.model.decode(signs)
+            if len(self.known) < self.remember and len(signs) <= REMEMBERED:
                 self.known[signs] = got
         return got
 
@@ -203,14 +213,9 @@ def beginnings(text: str) -> Counter:
     """Counts of the word beginnings (and whole words, with a trailing blank) of a restored text."""
     out: Counter = Counter()
     for w, n in Counter(_WORD.findall(text)).items():
-        if len(w) < 4 or len(w) > 64:
-            if 2 < len(w):
-                out[w[:64] + " "] += n
-            continue
-        for k in PREFIXES:
-            if len(w) >= k:
-                out[w[:k]] += n
-        out[w + " "] += n
+        if len(w) > 2:
+            for g in [w + " ", *[w[:k] for k in PREFIXES if len(w) >= k]]:
+                out[g] += n
     return out
 
 
@@ -253,13 +258,12 @@ class ToxicityModel:
         lift = lambda r: (r["n1"] / max(1, t1)) / ((r["n0"] + 1) / (t0 + 1))
         top = sorted((r for r in found if r["g"] and lift(r) > 1.5), key=lambda r: (-r["n1"] * math.log(lift(r)), r["g"]))[:features]
         names = [r["g"] for r in top]
-        out = cls(chars, names)
+        # strong whole words join the character model, so that their obfuscations decode to them; weights are learned on that model's restorations
+        out = cls(CharModel.of(counts, [r["g"].strip() for r in top if r["n0"] == 0 and r["g"].isascii()][:100]), names)
         y, x = out._sample(sample, rows)
         if len(set(y)) < 2 or not names:
             return cls(None, base=float(y.mean()) if len(y) else 0.5)
         out.weights = _logistic(x, y, epochs)
-        # strong whole words join the character model, so that their obfuscations decode to them
-        out.chars = CharModel.of(counts, [r["g"].strip() for r in top if r["n0"] == 0 and r["g"].isascii()][:100])
         return out
 
     def vector(self, restored: str, index: dict[str, int]) -> np.ndarray:

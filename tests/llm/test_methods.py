@@ -147,3 +147,67 @@ def test_sample_keeps_to_its_probabilities(spark):
     assert again == {r["doc_id"] for r in out.where("selected").collect()}
     for r in mix_report(out, {"source": "source", "lang": "lang"}).collect():
         assert abs(r["expected_share"] - r["target_share"]) < 2e-3 and abs(r["sample_share"] - r["expected_share"]) < 0.04
+
+
+def test_viterbi_equals_enumeration():
+    from prlens.llm import toxicity as tox
+
+    gen = np.random.default_rng(12)
+    model = tox.CharModel.of(gen.integers(0, 50, 27**3).astype(float))
+    place = {c: k for k, c in enumerate(" abcdefghijklmnopqrstuvwxyz")}
+
+    def score(word, cost):
+        s = "  " + word + " "
+        return cost + sum(model.log[(place[s[i]] * 27 + place[s[i + 1]]) * 27 + place[s[i + 2]]] for i in range(len(s) - 2)) + tox.PER_LETTER * len(word)
+
+    for _ in range(200):
+        signs = "".join(gen.choice(list("abil10@$.*-tt"), int(gen.integers(1, 7))))
+        runs = [(k, len(list(g))) for k, g in itertools.groupby(signs)]
+        ways = {("".join(t for t, _ in way), sum(c for _, c in way)) for way in itertools.product(*[tox.readings(*r) for r in runs])}
+        best = max(score(w, c) for w, c in ways)
+        got = model.decode(signs)
+        assert math.isclose(max(score(w, c) for w, c in ways if w == got), best, abs_tol=1e-9)
+    assert len(model.decode("a.b-" * 50_000)) <= 100_000
+
+
+def test_scores_of_odd_rows(spark):
+    from prlens.llm.quality import QualityModel
+    from prlens.llm.toxicity import ToxicityModel
+
+    rows = [(i, ("bad words here " if i % 2 else "a calm and clear text ") * 20, "x", 1.0) for i in range(80)] + [(None, None, "x", 0.0), (200, "", None, 0.0), (201, "long text " * 200_000, "x", 0.0), (3, "bad words here " * 20, "x", 0.0), (3, "bad words here " * 20, "x", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out string, score double")
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    for model in (QualityModel.fit(docs, labels), ToxicityModel.fit(docs, labels)):
+        got = model.score(docs, keep=("doc_id", "score")).collect()
+        assert len(got) == 85 and all(0 <= r["score"] <= 1 for r in got)
+        same = {r["score"] for r in got if r["doc_id"] == 3}
+        assert len(same) == 1
+        assert model.score(docs.limit(0)).count() == 0
+    none = QualityModel.fit(docs, labels.limit(0)).score(docs).select("score").distinct().collect()
+    assert [r["score"] for r in none] == [0.5]
+
+
+def test_attention_equals_a_plain_version():
+    """Training lowers the loss; scores and weights are those of gated attention written out for each bag."""
+    from prlens.llm.quality import QualityModel, _train
+
+    gen = np.random.default_rng(1)
+    sizes = gen.integers(1, 6, 40)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    x = gen.normal(0, 1, (first[-1], 5)).astype(np.float32)
+    y = np.array([float(x[a:b, 0].max() > 0.8) for a, b in itertools.pairwise(first)])
+    losses = []
+    for epochs in (1, 40, 160):
+        m = QualityModel({"mean": np.zeros(5), "std": np.ones(5)} | _train(x, first, y, epochs, 6, 4, 3))
+        p = np.clip(m.scores(x, first)[0], 1e-9, 1 - 1e-9)
+        losses.append(float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()))
+    assert losses[0] > losses[1] > losses[2] and losses[2] < 0.1
+    att = m.scores(x, first)[1]
+    assert np.allclose(np.add.reduceat(att, first[:-1]), 1)
+    plain = []
+    for a, b in itertools.pairwise(first):
+        w = m.weights
+        h = np.tanh(x[a:b] @ w["W"] + w["b"])
+        e = np.exp((np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"])))) @ w["w"])
+        plain.append(1 / (1 + np.exp(-(((e / e.sum()) @ h) @ w["c"] + w["d"][0]))))
+    assert np.allclose(plain, m.scores(x, first)[0], atol=1e-5)
