@@ -152,7 +152,7 @@ def sanitize(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str =
 
     Where spans overlap, the one that starts first (then the longer) counts.
     """
-    change = lambda k: F.transform(F.col(k), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), F.lit("" if k == "terms" else f"[{k}]").alias("to")))
+    change = lambda k: F.transform(F.col(f"_p_{k}"), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), F.lit("" if k == "terms" else f"[{k}]").alias("to")))
     every = F.array_sort(F.concat(*[change(k) for k in (*KINDS, "terms")]))
     t = F.coalesce(F.col(text), F.lit(""))
 
@@ -161,7 +161,7 @@ def sanitize(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str =
         return F.when(x["s"] >= acc["at"], put).otherwise(acc)
 
     done = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    spans = found.dropDuplicates(["row"]).drop(key)
-    joined = docs.withColumn("row", F.xxhash64(F.col(key), t)).join(spans, "row", "left")
-    clean = F.when(F.size("email").isNull(), F.col(text)).otherwise(F.concat(done["out"], t.substr(done["at"] + 1, F.length(t))))
+    spans = found.dropDuplicates(["row"]).select(*[F.col(c).alias(f"_p_{c}") for c in ("row", *KINDS, "terms")])  # names that no column of docs has
+    joined = docs.join(spans, F.xxhash64(F.col(key), t) == F.col("_p_row"), "left")
+    clean = F.when(F.size("_p_email").isNull(), F.col(text)).otherwise(F.concat(done["out"], t.substr(done["at"] + 1, F.length(t))))
     return joined.withColumn(text, clean).select(*docs.columns)

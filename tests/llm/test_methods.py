@@ -211,3 +211,37 @@ def test_attention_equals_a_plain_version():
         e = np.exp((np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"])))) @ w["w"])
         plain.append(1 / (1 + np.exp(-(((e / e.sum()) @ h) @ w["c"] + w["d"][0]))))
     assert np.allclose(plain, m.scores(x, first)[0], atol=1e-5)
+
+
+def test_sanitised_tables_keep_their_columns(spark):
+    from prlens.llm.pii import find_private, sanitize
+
+    rows = [(1, "write to a.b@example.org now", "r1", "e1"), (1, "write to a.b@example.org now", "r1", "e1"), (2, None, "r2", "e2"), (None, "call +44 20 7946 0958", "r3", "e3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, email string")
+    found = find_private(docs)
+    assert found.count() == 4
+    out = sanitize(docs, found)
+    assert out.columns == docs.columns and sorted((r["row"], r["email"]) for r in out.collect()) == [("r1", "e1"), ("r1", "e1"), ("r2", "e2"), ("r3", "e3")]
+    assert all("@" not in (r["text"] or "") and "7946" not in (r["text"] or "") for r in out.collect())
+    assert find_private(docs.limit(0)).count() == 0
+
+
+def test_contamination_does_not_depend_on_the_number_of_indexes(spark, monkeypatch):
+    from prlens.llm import decontaminate
+
+    gen = np.random.default_rng(4)
+    word = lambda: f"w{int(gen.integers(0, 400))}"
+    items = [(i, " ".join(word() for _ in range(14)) + ". " + " ".join(word() for _ in range(5)) + ".") for i in range(40)] + [(None, "no id"), (99, None), (98, "")]
+    docs = []
+    for d in range(60):
+        filler = [" ".join(word() for _ in range(30)) for _ in range(3)]
+        docs.append((d, " ".join([filler[0], items[d % 40][1] if d % 3 == 0 else filler[1], filler[2]])))
+    docs += [(0, docs[0][1]), (None, docs[3][1]), (500, None), (501, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), tuple(r["items"]), round(r["best_score"], 9)) for r in decontaminate.find_contaminated(d, b).collect())
+    planted = {i: (i % 40,) for i in range(60) if i % 3 == 0}
+    assert all(x[1] == planted.get(x[0], ()) for x in one if x[0] not in (-1,)) and one[0][1] == (3,)
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1000)
+    assert sorted(((r["doc_id"] if r["doc_id"] is not None else -1), tuple(r["items"]), round(r["best_score"], 9)) for r in decontaminate.find_contaminated(d, b).collect()) == one
+    assert decontaminate.find_contaminated(d.limit(0), b).count() == 0 and decontaminate.find_contaminated(d, b.limit(0)).where("contaminated").count() == 0
