@@ -9,9 +9,12 @@ that can hold such strings are sorted:
 2. Runs are dealt by their anchors' hashes. Equal contexts in several documents settle all of them but the smallest
    id's; what is left are anchors with several contexts.
 3. The bytes of one copy of each of those contexts make a shard, which is suffix sorted (:mod:`prlens.llm.suffix`);
-   windows with a common prefix of ``length`` stand together, and those of larger ids go.
+   windows with a common prefix of ``length`` stand together, and those of larger ids go. An anchor whose contexts
+   alone outgrow a shard (a line of many documents amid different text) is split: its windows are dealt to several
+   shards by their own bytes, so equal windows still meet, and equal windows of a part are pre-aggregated.
 
-No step holds more than a shard, a pack or a part of the documents, whose sizes do not grow with the input.
+A sorted shard, a pack and a part of the documents have sizes that do not grow with the input. The second step holds
+about 40 bytes for each run of an anchor, not its text; this grows with the documents that hold one anchor.
 
 Defined results: null text is empty; texts shorter than ``length`` keep all bytes; a null id is larger than any;
 rows that repeat an id do not count against each other; an empty table gives an empty table.
@@ -37,6 +40,8 @@ CHUNK, PACK = 192 << 10, 6 << 20
 PART_BYTES, SHARD_BYTES = 3 << 20, 8 << 20
 #: A longer text is hashed in pieces of this many bytes that overlap by ``length`` - 1.
 PIECE = 4 << 20
+#: Windows of split anchors that are compared at once.
+SPLIT_WINDOWS = 1 << 17
 _LOW = np.uint64((1 << 24) - 1)
 _LAST = np.int64(2**63 - 1)
 _TABLES = np.random.default_rng(20).integers(1, 2**63, (2, 256), dtype=np.uint64)
@@ -162,6 +167,26 @@ def _groups(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(key[part[0]]), part
 
 
+def least_owners(windows: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each row of bytes, and whether an equal row has a smaller owner.
+
+    Bytes are compared with those of the smallest owner under a hash; a row that only shares the hash is not decided.
+    """
+    n, width = windows.shape
+    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = windows
+    h = np.zeros(n, np.uint64)
+    for word in padded.view("<u8").T:
+        h = _mixed((h ^ word) * np.uint64(_BASE))
+    order = np.lexsort((owners, h))
+    new = np.ones(n, bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    least = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+    larger = np.zeros(n, bool)
+    larger[order] = (owners[order] > owners[least]) & (windows[order] == windows[least]).all(axis=1)
+    return h, larger
+
+
 def _part_of(rid: np.ndarray, parts: int) -> np.ndarray:
     return ((rid.view(np.uint64) >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
 
@@ -179,13 +204,13 @@ def _mask_digest(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[
     return int(gone.sum()), spans, hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
-    """``key``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` for every row."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``key``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` for every row; shards of about ``shard_bytes`` are sorted."""
     spark = docs.sparkSession
     small_batches(spark)
     t = F.coalesce(F.col(text), F.lit(""))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    parts, shards = max(1, -(-total // PART_BYTES)), max(1, -(-total // SHARD_BYTES))
+    parts, shards = max(1, -(-total // PART_BYTES)), max(1, -(-total // shard_bytes))
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(int(_LAST))).alias("did"),
         F.xxhash64(F.col(key), t).alias("rid"), t.cast("binary").alias("text"),
@@ -257,7 +282,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 owners.append(np.repeat(dids, n))
                 names.append(np.repeat(rids, n))
         rid_s, at_s, len_s = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (list(zip(*passed, strict=True)) or [[], [], []]))
-        ask = np.empty(0, np.int64)
+        ask = spread = np.empty(0, np.int64)
         if tags:
             tag, context, first, windows, did, rid = (np.concatenate(c) for c in (tags, contexts, firsts, counts, owners, names))
             order = np.lexsort((did, context, tag))
@@ -271,7 +296,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             starts = np.flatnonzero(new_tag)
             n = np.diff(np.append(starts, len(tag)))
             several = (np.add.reduceat(new.astype(np.int64), starts) > 1) & (np.minimum.reduceat(did, starts) != np.maximum.reduceat(did, starts))
-            ask = np.flatnonzero(np.repeat(several, n) & ~settled)
+            open_ = np.repeat(several, n) & ~settled
+            ask = np.flatnonzero(open_)
+            # into how many shards an anchor's windows are split: 1 leaves its contexts whole
+            whole = np.add.reduceat(np.where(open_, windows + length - 1, 0), starts)
+            apart = np.add.reduceat(np.where(open_, windows * length, 0), starts)
+            spread = np.repeat(np.where(whole > shard_bytes, -(-apart // shard_bytes), 1), n)
         out = []
         by_part = [dict(_groups(_part_of(r, parts))) for r in (rid_s, rid[ask] if len(ask) else np.empty(0, np.int64))]
         for p in by_part[0].keys() | by_part[1].keys():
@@ -280,7 +310,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             want = None
             if j is not None:
                 j = ask[j]
-                want = _blob(rid[j], did[j], first[j].astype("<i4"), windows[j].astype("u1"))
+                want = _blob(rid[j], did[j], first[j].astype("<i4"), windows[j].astype("u1"), spread[j].astype("<i4"))
             out.append((p, shard, gone, want))
         yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "shard", "gone", "want"])
 
@@ -294,12 +324,37 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         """One part of the documents: finished rows, rows that wait for sorted shards, and the contexts those shards need."""
         gone = [_unblob(b, "<i8", "<i4", "<i4") for b in asked.column("gone").to_pylist() if b]
         g_rid, g_at, g_len = (np.concatenate(c) for c in zip(*gone, strict=True)) if gone else (np.empty(0, np.int64),) * 3
-        order = np.argsort(g_rid, kind="stable")
-        g_rid, g_at, g_len = g_rid[order], g_at[order].astype(np.int64), g_len[order].astype(np.int64)
-        want = [(s, *_unblob(b, "<i8", "<i8", "<i4", "u1")) for s, b in zip(asked.column("shard").to_pylist(), asked.column("want").to_pylist(), strict=True) if b]
+        want = [(s, *_unblob(b, "<i8", "<i8", "<i4", "u1", "<i4")) for s, b in zip(asked.column("shard").to_pylist(), asked.column("want").to_pylist(), strict=True) if b]
         doc_ids, rids, data = texts.column("doc_id").to_pylist(), texts.column("rid").to_numpy(), texts.column("text").to_pylist()
         waiting = {int(r) for w in want for r in np.unique(w[1])}
         where = {int(r): i for i, r in enumerate(rids)}
+        sent: list[tuple[int, bytes, bytes]] = []
+        for s, rid, did, first, windows, spread in want:
+            windows = windows.astype(np.int64)
+
+            def bytes_of(k: np.ndarray, rid=rid, first=first, windows=windows) -> bytes:  # noqa: ANN001
+                return b"".join(data[where[r]][f : f + n] for r, f, n in zip(rid[k].tolist(), first[k].tolist(), (windows[k] + length - 1).tolist(), strict=True))
+
+            k = np.flatnonzero(spread == 1)
+            if len(k):
+                sent.append((s, _blob(rid[k], did[k], first[k], windows[k].astype("u1")), bytes_of(k)))
+            k = np.flatnonzero(spread > 1)
+            for k in np.split(k, np.flatnonzero(np.diff(np.cumsum(windows[k]) // SPLIT_WINDOWS)) + 1) if len(k) else []:
+                n = windows[k]
+                run = np.repeat(np.arange(len(k)), n)
+                inner = np.arange(len(run)) - (np.cumsum(n) - n)[run]
+                begin = np.cumsum(n + length - 1) - (n + length - 1)
+                rows_of = np.lib.stride_tricks.sliding_window_view(np.frombuffer(bytes_of(k), np.uint8), length)[begin[run] + inner]
+                w_rid, w_did, w_at = rid[k][run], did[k][run], first[k][run].astype(np.int64) + inner
+                h, larger = least_owners(rows_of, w_did)
+                g_rid, g_at, g_len = np.append(g_rid, w_rid[larger]), np.append(g_at, w_at[larger]), np.append(g_len, np.full(larger.sum(), length))
+                kept = np.flatnonzero(~larger)
+                place = (s + (h[kept] % spread[k][run][kept].astype(np.uint64)).astype(np.int64)) % shards
+                for p, m in _groups(place):
+                    m = kept[m]
+                    sent.append((p, _blob(w_rid[m], w_did[m], w_at[m].astype("<i4"), np.ones(len(m), "u1")), rows_of[m].tobytes()))
+        order = np.argsort(g_rid, kind="stable")
+        g_rid, g_at, g_len = g_rid[order], g_at[order].astype(np.int64), g_len[order].astype(np.int64)
         rows_: list[tuple] = []
         for i, r in enumerate(rids):
             lo, hi = np.searchsorted(g_rid, r), np.searchsorted(g_rid, r, "right")
@@ -310,10 +365,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 rows_.append((0, 0, doc_ids[i], int(r), len(data[i]), removed, spans, sha, None, None))
         part = int(_part_of(rids[:1], parts)[0]) if len(rids) else 0
         rows_ = [(k, part, *rest) for k, _, *rest in rows_]
-        for s, rid, did, first, windows in want:
-            sizes = windows.astype(np.int64) + length - 1
-            body = b"".join(data[where[r]][f : f + n] for r, f, n in zip(rid.tolist(), first.tolist(), sizes.tolist(), strict=True))
-            rows_.append((2, s, None, None, None, None, None, None, _blob(rid, did, first, windows), zstandard.compress(body, 1)))
+        rows_ += [(2, s, None, None, None, None, None, None, head, zstandard.compress(body, 1)) for s, head, body in sent]
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
         return pa.table([pa.array([r[c] for r in rows_], k) for c, k in enumerate(kinds)], names=["kind", "place", "doc_id", "rid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "head", "body"])
 

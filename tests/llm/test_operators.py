@@ -177,6 +177,11 @@ def test_remove_repeats(spark, corpus):
     from prlens.llm.suffix_dedup import remove_repeats
 
     def brute(rows):
+        first = {}
+        for d, t in rows:
+            b = (t or "").encode()
+            for i in range(len(b) - 49):
+                first[b[i : i + 50]] = min(d, first.get(b[i : i + 50], d))
         out = []
         for d, t in rows:
             b = (t or "").encode()
@@ -188,11 +193,6 @@ def test_remove_repeats(spark, corpus):
             out.append((d, len(b), int(gone.sum()), int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
         return sorted(out)
 
-    first = {}
-    for d, t in corpus:
-        b = (t or "").encode()
-        for i in range(len(b) - 49):
-            first[b[i : i + 50]] = min(d, first.get(b[i : i + 50], d))
     got = sorted(tuple(r) for r in remove_repeats(frame(spark, corpus)).collect())
     assert got == brute(corpus)
     assert remove_repeats(frame(spark, corpus).limit(0)).count() == 0
@@ -200,6 +200,52 @@ def test_remove_repeats(spark, corpus):
     assert null == {80}
 
 
+def test_remove_repeats_splits_hot_anchors(spark, monkeypatch):
+    """Lines that all documents hold amid different text, with shards far smaller than one anchor's contexts."""
+    from prlens.llm import suffix_dedup
+
+    gen = np.random.default_rng(11)
+
+    def text(n):
+        return bytes(gen.integers(97, 123, n, dtype=np.uint8)).decode()
+
+    lines = [text(n) for n in (26, 40, 49, 50, 90)]
+    rows = [(d, "".join(text(int(gen.integers(3, 40))) + line for line in lines) + ("" if d % 7 else lines[4] * 3)) for d in gen.permutation(400).tolist()]
+    rows += [(400 + d, rows[d][1][7:]) for d in range(20)] + [(500, None), (501, ""), (502, "short")]
+    first = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            first[b[i : i + 50]] = min(d, first.get(b[i : i + 50], d))
+    want = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < d:
+                gone[i : i + 50] = True
+        want[d] = (int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+    split = []
+    written = suffix_dedup.written
+
+    def watched(df, what, *more):
+        out = written(df, what, *more)
+        if what == "repeats-found":
+            split.append(out.where("kind = 2").select("head").collect())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", watched)
+    for size in (3000, suffix_dedup.SHARD_BYTES):
+        got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(frame(spark, rows), shard_bytes=size).collect()}
+        assert got == want
+    small, large = (np.concatenate([suffix_dedup._unblob(r["head"], "<i8", "<i8", "<i4", "u1")[3] for r in s]) for s in split)
+    assert (small == 1).mean() > 0.5 > (large == 1).mean()
+    windows = gen.integers(0, 2, (300, 5)).astype(np.uint8)
+    owners = gen.integers(0, 9, 300)
+    _, larger = suffix_dedup.least_owners(windows, owners)
+    assert larger.tolist() == [any((w == v).all() and o > p for v, p in zip(windows, owners, strict=True)) for w, o in zip(windows, owners, strict=True)]
+
+
 def test_near_duplicates(spark, corpus):
     from prlens.llm.jaccard import block_links, near_duplicate_groups, one_of_each, pair_links
 
