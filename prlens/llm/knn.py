@@ -3,8 +3,8 @@
 Data and queries are grouped by pivots, which are as many for small tables as for large ones. Data of a Voronoi cell are
 packed into blocks, each with a summary: its pivot's number and its largest distance from the pivot. From the summaries
 of the cells each query group derives a bound: a score that its k best are sure to reach. A block goes to a query group
-only if its own upper bound reaches that score for one of the group's queries. Each pair of a query group and a block is
-solved locally; the partial lists of a query are merged.
+only if its own upper bound reaches that score for one of the group's queries. A query group is solved with a bounded
+number of blocks at a time, in different tasks; the partial lists of a query are merged.
 
 For a query q, a pivot p and a vector s of p's cell: <q,p> - |q||s-p| <= <q,s> <= <q,p> + |q||s-p|.
 
@@ -28,6 +28,8 @@ from prlens.llm._arrow import small_batches, written
 
 #: Rows of a block of data, and of a group of queries.
 BLOCK_ROWS, GROUP_ROWS = 4096, 256
+#: Blocks, on average, that meet a copy of a query group in one task.
+BLOCKS_TOGETHER = 64
 #: Most pivots; they are a bounded sample of the data, and the only vectors that are broadcast.
 PIVOTS = 128
 _SLACK = 1e-6
@@ -156,9 +158,13 @@ def voronoi_topk(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "v
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["group", "cell", "need"])
 
     pairs = near.mapInArrow(wanted, "group bigint, cell int, need double").join(blocks, "cell").where("radius >= need").select("group", "block")
+    # a group that needs very many blocks is copied for shares of them; a copy is small beside the blocks it meets
+    total_blocks = blocks.count()
+    pairs = written(pairs.withColumn("share", F.pmod(F.xxhash64("block"), F.lit(max(1, total_blocks // BLOCKS_TOGETHER)))), "knn-pairs")
+    copies_of = near.select("group", "ids", "vectors", "n", "width").join(pairs.select("group", "share").distinct(), "group")
     joined = (
         pairs.join(data.select("block", F.col("ids").alias("d_ids"), F.col("vectors").alias("d_vectors"), F.col("n").alias("d_n"), F.col("width").alias("d_width")), "block")
-        .join(near.select("group", "ids", "vectors", "n", "width"), "group")
+        .join(copies_of, ["group", "share"])
     )
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +203,6 @@ def voronoi_topk(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "v
             yield sent(list(best.values()))
 
     part = joined.mapInArrow(solve, "query_id bigint, vec_id bigint, score bigint")
-    # a group's blocks meet in one task (or a few, if it is split for skew), so a query has few lists to merge
+    # a query has at most one list for each share to merge
     final = part.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("l"))
     return final.select("query_id", F.posexplode("l").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))

@@ -89,6 +89,8 @@ def test_many_cells_and_repeated_ids(spark, monkeypatch):
     rows += [(100, [float(v) for v in x[100]]), (100, [float(v) for v in x[100]]), (7, [float(v) for v in x[8]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     got = sorted(tuple(r) for r in knn.voronoi_topk(df, F.col("vec_id") % 50 == 0).collect())
+    monkeypatch.setattr(knn, "BLOCKS_TOGETHER", 2)  # a query's blocks in many tasks
+    assert sorted(tuple(r) for r in knn.voronoi_topk(df, F.col("vec_id") % 50 == 0).collect()) == got
     ids = np.array([i for i, _ in rows])
     full = np.floor(256 * np.array([v for _, v in rows])).astype(int)
     want = []
