@@ -81,14 +81,14 @@ def keyword_density(c: Column, lexicon: list[str]) -> Column:
 
 
 def changed_lines(patch: Column) -> Column:
-    """Lines added or removed by a patch; only headers that come before the first hunk are left out."""
+    """Lines added or removed by a patch; only headers that come before the first hunk are left out. Lines end at a line feed only."""
     body = F.regexp_replace(patch, r"(?s)^(?:(?!@@ ).*?\n)(?=@@ )", "")
-    return F.coalesce(F.regexp_count(body, F.lit(r"(?m)^[+-]")) - F.when(body.rlike(r"(?m)^@@ "), 0).otherwise(F.regexp_count(body, F.lit(r"(?m)^(\+\+\+|---)( |$)"))), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(body, F.lit(r"(?dm)^[+-]")) - F.when(body.rlike(r"(?dm)^@@ "), 0).otherwise(F.regexp_count(body, F.lit(r"(?dm)^(\+\+\+|---)( |$)"))), F.lit(0)).cast("long")
 
 
 def diff_hunks(patch: Column) -> Column:
     """Hunks of a patch."""
-    return F.coalesce(F.regexp_count(patch, F.lit(r"(?m)^@@ ")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(patch, F.lit(r"(?dm)^@@ ")), F.lit(0)).cast("long")
 
 
 #: Tags of language names that letters and digits alone would confuse.

@@ -83,10 +83,10 @@ def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
 
 
-@query("SELECT i.id, i.row_idx, o.o_orderstatus AS state, o.o_orderpriority AS agent FROM (SELECT (range * 7) AS id, range AS row_idx FROM range(0, 5000)) i LEFT JOIN orders o ON o.o_orderkey = i.id")
+@query("SELECT i.id, i.row_idx, o.o_orderstatus AS state, o.o_orderpriority AS agent FROM (SELECT event_id * 7 AS id, event_id AS row_idx FROM events) i LEFT JOIN orders o ON o.o_orderkey = i.id")
 def metadata_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A list of ids with their metadata, unknown ids kept."""
-    ids = spark.range(5000).select((F.col("id") * 7).alias("id"), F.col("id").alias("row_idx"))
+    """A list of ids, one an event, with their metadata, unknown ids kept."""
+    ids = table(spark, sf_dir, "events").select((F.col("event_id") * 7).alias("id"), F.col("event_id").alias("row_idx"))
     return filters.with_metadata(ids, pull_requests(spark, sf_dir), ["id", "state", "agent"])
 
 
@@ -475,12 +475,18 @@ def code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", metrics_code.physical_lines(F.col("text")).alias("loc"), metrics_code.asserts(F.col("text")).alias("asserts"))
 
 
-@query("SELECT * FROM (VALUES (1, 3::BIGINT, 1::BIGINT), (2, 0::BIGINT, 0::BIGINT), (3, 4::BIGINT, 2::BIGINT)) v(id, diffhunk_size, num_diffhunks)")
+@query(
+    "SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN 0 ELSE n END::BIGINT AS diffhunk_size, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 + n ELSE 0 END::BIGINT AS num_diffhunks "
+    "FROM (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS n FROM documents WHERE text IS NOT NULL)"
+)
 def diffhunk_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changed lines and hunks of three patches, one with a file header and a line that starts like one."""
-    patches = [(1, "@@ -1,2 +1,3 @@\n a\n+b\n-c\n+d\n"), (2, None), (3, "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-++x\n+y\n@@ -9 +9 @@\n+z\n--- q\n")]
-    df = spark.createDataFrame(patches, "id int, patch string")
-    return df.select("id", text.changed_lines(F.col("patch")).alias("diffhunk_size"), text.diff_hunks(F.col("patch")).alias("num_diffhunks"))
+    """Changed lines and hunks of patches made of documents: one hunk under a file header, a hunk a line, no hunk, no patch."""
+    head, hunk = "--- a/x\n+++ b/x\n", "@@ -1 +1 @@\n"
+    lines = lambda to: F.concat(F.lit(" "), F.regexp_replace("text", "\n", to))
+    kind = F.col("doc_id") % 4
+    patch = F.when(kind == 0, F.concat(F.lit(head + hunk), lines("\n+"))).when(kind == 1, F.concat(F.lit(hunk), lines("\n" + hunk + "-"))).when(kind == 2, F.concat(F.lit(head), lines("\n+ ")))
+    df = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", patch.alias("patch"))
+    return df.select("doc_id", text.changed_lines(F.col("patch")).alias("diffhunk_size"), text.diff_hunks(F.col("patch")).alias("num_diffhunks"))
 
 
 @query("SELECT c_custkey AS id, c_acctbal >= 0 AS known, CASE WHEN n_name = 'GERMANY' THEN 'tool-a' WHEN n_name = 'FRANCE' THEN 'tool-b' END AS tool, CASE WHEN n_name NOT IN ('GERMANY', 'FRANCE') THEN 'no analyser for ' || n_name END AS error FROM customer JOIN nation ON c_nationkey = n_nationkey")

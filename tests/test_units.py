@@ -259,3 +259,11 @@ def test_findings_and_versions(spark, tmp_path):
     assert (tmp_path / "snap").exists() and sinks.safe_name("o/a") == "o__a"
     ok, bad = sinks.split_errors(spark.createDataFrame([(1, None), (2, "x")], "id int, error string"))
     assert ok.count() == bad.count() == 1
+
+
+def test_changed_lines(spark):
+    """File headers, lines that start like one, carriage returns inside lines, no hunk, no patch."""
+    patches = ["@@ -1,2 +1,3 @@\n a\n+b\n-c\n+d\n", None, "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-++x\n+y\n@@ -9 +9 @@\n+z\n--- q\n", "@@ -1 +1 @@\n+a\r+b -c\u0085@@ d", "--- a/x\n+++ b/x\n+b\n", ""]
+    df = spark.createDataFrame(list(enumerate(patches)), "id int, patch string").orderBy("id")
+    got = df.select(text.changed_lines(F.col("patch")), text.diff_hunks(F.col("patch"))).collect()
+    assert [tuple(r) for r in got] == [(3, 1), (0, 0), (4, 2), (1, 1), (1, 0), (0, 0)]
