@@ -30,21 +30,34 @@ WORD = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
 _LONG, _SHORT = r"(?s).{1,20000}+[\p{L}\p{N}]*+", r"(?s).{1,200}+[\p{L}\p{N}]*+"
 #: Hash values by which words that are no told terms are left out before a shuffle; at most so many are broadcast.
 BUCKETS = 1 << 21
+#: Matches that are folded at once.
+FOLD = 256
 
 
 def located(text: Column, pattern: str) -> Column:
     """All matches as ``array<struct<s, e, v>>``: code points from and to, and the match."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
+    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["b"])
         e = s + F.length(x["f"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["f"].alias("v")))).alias("out"))
 
+    def folded(pairs: Column) -> Column:
+        """The matches of ``FOLD`` pairs at a time, so that no fold copies a long array for each match."""
+
+        def part(acc: Column, c: Column) -> Column:
+            done = F.aggregate(F.slice(pairs, c * FOLD + 1, F.lit(FOLD)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+            return F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))[0]
+
+        parts = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / FOLD).cast("int"))
+        return F.flatten(F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,e:int,v:string>>>").alias("out")), part)["out"])
+
     pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda f, b: F.struct(f.alias("f"), b.alias("b")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step)["out"]).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))
+    # a transform of one value binds it, so that the folds do not search the text again
+    return F.when(F.size(found) > 0, F.transform(F.array(pairs), folded)[0]).otherwise(none)
 
 
 def _digits(v: Column) -> Column:

@@ -2,6 +2,9 @@
 
 import itertools
 import math
+import random
+import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -68,7 +71,6 @@ def test_extraction_equals_a_plain_walk():
 
 
 def test_long_broken_pages_take_linear_time():
-    import time
 
     from prlens.llm.html_extract import main_text
 
@@ -247,3 +249,55 @@ def test_contamination_does_not_depend_on_the_number_of_indexes(spark, monkeypat
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1000)
     assert sorted(((r["doc_id"] if r["doc_id"] is not None else -1), tuple(r["items"]), round(r["best_score"], 9)) for r in decontaminate.find_contaminated(d, b).collect()) == one
     assert decontaminate.find_contaminated(d.limit(0), b).count() == 0 and decontaminate.find_contaminated(d, b.limit(0)).where("contaminated").count() == 0
+
+
+def test_disclosing_terms_equal_a_plain_count(spark):
+    """Document frequencies, PMI over IC and every occurrence, written out for entities of one and of many documents."""
+    from collections import Counter
+
+    import regex
+
+    from prlens.llm.pii import find_private
+    from test_operators import BASE, _valid
+
+    gen = random.Random(21)
+    words = ["Ünal", "zeta9", "ab", "kappa", "sigma", "omega", "Lambda", "delta", "Theta", "iota", "rho7x", "müller"]
+    names = ["ann@x.org", "ANN@x.org", "bob@y.net", "+1 (017) 555-7713", "10.0.0.7", "4785380592391139"]
+    rows = []
+    for d in range(160):
+        parts = gen.choices(words, k=gen.randint(1, 14)) + (gen.choices(names, k=gen.randint(1, 2)) if d % 3 == 0 else [])
+        if "ann@x.org" in parts:
+            parts.append("secret")
+        gen.shuffle(parts)
+        rows.append((d, gen.choice([" ", ", ", "-"]).join(parts)))
+    rows += [(3, rows[3][1]), (500, None), (501, ""), (502, "secret words, no entity; Secret"), (503, "9 " * 700 + "lonely one@only.example")]
+    word = regex.compile(r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])")
+    held, bare = [], []
+    for _, t in rows:
+        t = t or ""
+        spans = [(k, m.start(), m.end(), m[0]) for k, p in BASE.items() for m in re.finditer(p, t) if _valid(k, m[0])]
+        held.append({k + ":" + (v.lower() if k == "email" else re.sub("[^0-9.]", "", v)) for k, _, _, v in spans})
+        for _, s, e, _ in spans:
+            t = t[:s] + " " * (e - s) + t[e:]
+        bare.append(t)
+    sets = [{m[0].lower() for m in word.finditer(t)} for t in bare]
+    n, n_e, n_t = len(rows), Counter(e for h in held for e in h), Counter(w for s in sets for w in s)
+    n_te = Counter((w, e) for s, h in zip(sets, held, strict=True) for w in s for e in h)
+    for threshold in (0.8, 0.4):
+        told = {w for (w, e), c in n_te.items() if math.log(c * n / (n_t[w] * n_e[e])) >= threshold * math.log(n / n_e[e]) - 1e-9}
+        want = sorted((d, tuple(m.span() for m in word.finditer(t) if m[0].lower() in told)) for (d, _), t in zip(rows, bare, strict=True))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = sorted((r["doc_id"], tuple((x["s"], x["e"]) for x in r["terms"])) for r in find_private(df, threshold=threshold).collect())
+        assert got == want
+        assert "lonely" in told and len(told) < len(n_t)
+
+
+def test_very_many_matches_are_located(spark):
+    from prlens.llm.pii import EMAIL, located
+
+    text = " ".join(f"é{i} a{i}@b.cd" for i in range(60_000))
+    began = time.monotonic()
+    got = spark.createDataFrame([(text,), ("",), (None,), ("a@b.c",)], "t string").select(located(F.col("t"), EMAIL).alias("x")).collect()
+    assert [(x["s"], x["e"], x["v"]) for x in got[0]["x"]] == [(*m.span(), m[0]) for m in re.finditer(r"[a-z0-9]+@b\.cd", text)]
+    assert [r["x"] and len(r["x"]) for r in got[1:]] in ([[], None, 1], [[], [], 1])
+    assert time.monotonic() - began < 60
