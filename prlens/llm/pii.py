@@ -30,7 +30,7 @@ WORD = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
 _LONG, _SHORT = r"(?s).{1,20000}+[\p{L}\p{N}]*+", r"(?s).{1,200}+[\p{L}\p{N}]*+"
 #: Hash values by which words that are no told terms are left out before a shuffle; at most so many are broadcast.
 BUCKETS = 1 << 21
-#: Matches that are folded at once.
+#: Matches that are folded at once; only texts with more are folded in parts.
 FOLD = 256
 
 
@@ -56,8 +56,9 @@ def located(text: Column, pattern: str) -> Column:
         return F.flatten(F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,e:int,v:string>>>").alias("out")), part)["out"])
 
     pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda f, b: F.struct(f.alias("f"), b.alias("b")))
+    whole = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
     # a transform of one value binds it, so that the folds do not search the text again
-    return F.when(F.size(found) > 0, F.transform(F.array(pairs), folded)[0]).otherwise(none)
+    return F.when(F.size(found) > FOLD, F.transform(F.array(pairs), folded)[0]).when(F.size(found) > 0, whole).otherwise(none)
 
 
 def _digits(v: Column) -> Column:
