@@ -28,7 +28,8 @@ _IP_OK = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
 #: Words, and pieces of a text that no border of a word falls into.
 WORD = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
 _LONG, _SHORT = r"(?s).{1,20000}+[\p{L}\p{N}]*+", r"(?s).{1,200}+[\p{L}\p{N}]*+"
-#: Hash values by which words that are no told terms are left out before a shuffle; at most so many are broadcast.
+#: Most hash values that are broadcast to leave out, before a shuffle, words that are no told terms: the terms' whole
+#: hashes while there are no more terms than that, else their remainders, which let other words through as well.
 BUCKETS = 1 << 21
 #: Matches that are folded at once; only texts with more are folded in parts.
 FOLD = 256
@@ -142,7 +143,7 @@ def find_private(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     counts = counts.where(F.col("n_t") <= most**threshold * max(total, 1) ** (1 - threshold) + 1)
     pmi = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
     told = written(pairs.join(counts, "term").where(pmi >= threshold * F.log(n / F.col("n_e")) - 1e-9).select("term").distinct(), "pii-told")
-    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("_bucket")
+    bucket = (F.xxhash64("term") if told.count() <= BUCKETS else F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).alias("_bucket")
     places = _occurrences(found.select("row", "_b")).withColumn("_bucket", bucket)
     places = places.join(F.broadcast(told.select(bucket).distinct()), "_bucket", "left_semi").drop("_bucket").join(told, "term", "left_semi")
     added = places.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e", F.col("term").alias("v")))).alias("terms"))

@@ -251,12 +251,13 @@ def test_contamination_does_not_depend_on_the_number_of_indexes(spark, monkeypat
     assert decontaminate.find_contaminated(d.limit(0), b).count() == 0 and decontaminate.find_contaminated(d, b.limit(0)).where("contaminated").count() == 0
 
 
-def test_disclosing_terms_equal_a_plain_count(spark):
+def test_disclosing_terms_equal_a_plain_count(spark, monkeypatch):
     """Document frequencies, PMI over IC and every occurrence, written out for entities of one and of many documents."""
     from collections import Counter
 
     import regex
 
+    from prlens.llm import pii
     from prlens.llm.pii import find_private
     from test_operators import BASE, _valid
 
@@ -289,6 +290,7 @@ def test_disclosing_terms_equal_a_plain_count(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
         got = sorted((r["doc_id"], tuple((x["s"], x["e"]) for x in r["terms"])) for r in find_private(df, threshold=threshold).collect())
         assert got == want
+        monkeypatch.setattr(pii, "BUCKETS", 2)  # fewer than told terms
         assert "lonely" in told and len(told) < len(n_t)
 
 
