@@ -91,9 +91,17 @@ def segmented_regression(df: DataFrame, y: str, time: str, event: str, covariate
     return df.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(names, beta, strict=True)], "term string, estimate double")
 
 
-def before_after(df: DataFrame, key: str, value: str, after: Column) -> DataFrame:
-    """Means before and after an event by key, and their difference."""
-    return df.groupBy(key).agg(F.avg(F.when(~after, F.col(value))).alias("before"), F.avg(F.when(after, F.col(value))).alias("after")).withColumn("delta", F.col("after") - F.col("before"))
+def before_after(df: DataFrame, key: str, value: str, after: Column, order: str | None = None) -> DataFrame:
+    """Means before and after an event by key, and their difference.
+
+    A key's values are added one after another by ``order``, then by value: a sum of floating-point numbers depends on
+    its order, and a mean that lies on a rounding limit must not depend on how the rows are split over tasks. A key's
+    last row holds its means; a key's rows are sorted in one task, on disk if need be.
+    """
+    by = Window.partitionBy(key).orderBy(*([order] if order else []), value)
+    past = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    work = df.withColumns({"_before": F.avg(F.when(~after, F.col(value))).over(past), "_after": F.avg(F.when(after, F.col(value))).over(past), "_more": F.lead(F.lit(True)).over(by)})
+    return work.where(F.col("_more").isNull()).select(key, F.col("_before").alias("before"), F.col("_after").alias("after"), (F.col("_after") - F.col("_before")).alias("delta"))
 
 
 def average_ranks(df: DataFrame, value: str, name: str = "avg_rank") -> DataFrame:

@@ -555,7 +555,7 @@ def interrupted_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey AS repo_id, round(avg(o_totalprice) FILTER (o_orderdate < DATE '1996-01-01'), 0) AS before, round(avg(o_totalprice) FILTER (o_orderdate >= DATE '1996-01-01'), 0) AS after, round(avg(o_totalprice) FILTER (o_orderdate >= DATE '1996-01-01') - avg(o_totalprice) FILTER (o_orderdate < DATE '1996-01-01'), 0) AS delta FROM orders GROUP BY 1")
 def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean prices before and after an instant by repository."""
-    out = stats.before_after(pull_requests(spark, sf_dir), "repo_id", "price", F.col("created_at") >= F.to_timestamp_ntz(F.lit("1996-01-01 00:00:00")))
+    out = stats.before_after(pull_requests(spark, sf_dir), "repo_id", "price", F.col("created_at") >= F.to_timestamp_ntz(F.lit("1996-01-01 00:00:00")), "id")
     return out.select("repo_id", *[F.round(c, 0).alias(c) for c in ("before", "after", "delta")])
 
 

@@ -267,3 +267,30 @@ def test_changed_lines(spark):
     df = spark.createDataFrame(list(enumerate(patches)), "id int, patch string").orderBy("id")
     got = df.select(text.changed_lines(F.col("patch")), text.diff_hunks(F.col("patch"))).collect()
     assert [tuple(r) for r in got] == [(3, 1), (0, 0), (4, 2), (1, 1), (1, 0), (0, 0)]
+
+
+def test_before_after_on_rounding_limits(spark, tmp_path):
+    """Means that lie on x.5: as the SQL has them in order of ids, however the rows are split over files and tasks."""
+    import random
+
+    from prlens.plans import catalog
+
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(7)
+    prices = {}
+    for side in range(2):
+        for k in range(200):
+            cents = [rng.randrange(100_000, 50_000_000) for _ in range(7)]
+            cents.append(10_000_000 + (400 - 10_000_000 - sum(cents)) % 800)
+            prices |= {(side * 8 + j) * 200 + k: (k, c / 100, ts("1995-06-01") if side == 0 else ts("1997-06-01")) for j, c in enumerate(cents)}
+    rows = [(i, k, "F", p, t, "5-LOW") for i, (k, p, t) in sorted(prices.items())] + [(3200, None, "F", 2.0, ts("1997-06-01"), "x"), (3201, 200, "F", None, ts("1997-06-01"), "x"), (3202, 201, "F", 2.5, None, "x")]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute("CREATE TABLE orders (o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus VARCHAR, o_totalprice DOUBLE, o_orderdate TIMESTAMP, o_orderpriority VARCHAR)")
+    con.executemany("INSERT INTO orders VALUES (?, ?, ?, ?, ?, ?)", rows)
+    want = sorted(map(repr, con.execute(catalog.ORACLES["before_after"]).fetchall()))
+    assert len(want) == 203
+    for n, dealt in enumerate((orders.repartitionByRange(6, "o_orderkey"), orders.repartition(9, "o_orderpriority", "o_orderkey"), orders.coalesce(1))):
+        dealt.write.parquet(f"file://{tmp_path}/{n}/orders.parquet")
+        got = catalog.before_after(spark, f"file://{tmp_path}/{n}").select("repo_id", "before", "after", "delta").collect()
+        assert sorted(repr(tuple(r)) for r in got) == want
